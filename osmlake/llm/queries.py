@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from osmlake.llm import bpe, simhash
+from osmlake.llm import bpe, bytecnn, decontaminate, mil, ogg, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,45 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.decode_media(ogg.encode_media(table(spark, sf_dir, "documents")))
+
+
+def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op7_simhash_pivots)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_byte_bpe, op4_ogg_media, op5_toxicity_mil, op7_simhash_pivots, op8_decontamination, op10_quality_cnn)
+}
+
+#: SQL for op8: the windows of items joined with all word runs of the same length of the documents.
+OP8_SQL = r"""
+with d as (select doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') w from documents),
+b as (select item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') w from benchmark),
+bw as (select item_id, least(len(w), 13) size, list_aggregate(w[i:i + least(len(w), 13) - 1], 'string_agg', ' ') win
+       from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) i from b where len(w) > 0)),
+sizes as (select distinct size from bw),
+dw as (select doc_id, i, size, list_aggregate(w[i:i + size - 1], 'string_agg', ' ') win
+       from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) i from d, sizes where len(w) >= size)),
+hit as (select dw.doc_id, dw.i, dw.size, bw.item_id from dw join bw using (size, win)),
+covered as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + size)) p from hit) group by doc_id),
+items as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) ids from (select distinct doc_id, cast(item_id as varchar) item from hit) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(ids, '')) items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join covered using (doc_id) left join items using (doc_id)
+"""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
