@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from osmlake.llm import bpe, bytecnn, chattree, decontaminate, mil, ogg, simhash, warc
+from osmlake.llm import bpe, bytecnn, chattree, decontaminate, deleted, mil, ogg, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted.score(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_warc_zstd, op4_ogg_media, op5_toxicity_mil, op7_simhash_pivots, op8_decontamination, op9_chat_prefix_tree, op10_quality_cnn)
+    for f in (op1_byte_bpe, op2_warc_zstd, op4_ogg_media, op5_toxicity_mil, op6_deleted_interpolation, op7_simhash_pivots, op8_decontamination, op9_chat_prefix_tree, op10_quality_cnn)
 }
 
 #: SQL for op8: the windows of items joined with all word runs of the same length of the documents.
