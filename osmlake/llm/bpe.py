@@ -143,10 +143,10 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of each text's ids and of the bytes they decode to.
 
-    Encoding and decoding run in the same task, so ids never leave it.  Null
+    ``keep_ids``: the ids themselves follow, as a column of arrays.  Encoding and decoding run in the same task, so ids never leave it.  Null
     text counts as empty; repeated rows each get a row.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
@@ -155,12 +155,18 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         bpe = ByteBpe.of(ranks.value, pattern)
         digits = bpe.digits.__getitem__
         for batch in tk.small_batches(batches):
-            n, ids_sha, out_sha = [], [], []
+            n, ids_sha, out_sha, kept = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text or "")
                 n.append(len(ids))
+                if keep_ids:
+                    kept.append(ids)
                 ids_sha.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
                 out_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from osmlake.llm import bpe, bytecnn, chattree, decontaminate, deleted, mil, ogg, simhash, warc
+from osmlake.llm import bpe, bytecnn, chattree, decontaminate, deleted, mil, ogg, simhash, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.decode_media(ogg.encode_media(table(spark, sf_dir, "documents")))
 
@@ -54,7 +58,7 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_warc_zstd, op4_ogg_media, op5_toxicity_mil, op6_deleted_interpolation, op7_simhash_pivots, op8_decontamination, op9_chat_prefix_tree, op10_quality_cnn)
+    for f in (op1_byte_bpe, op2_warc_zstd, op3_substring_dedup, op4_ogg_media, op5_toxicity_mil, op6_deleted_interpolation, op7_simhash_pivots, op8_decontamination, op9_chat_prefix_tree, op10_quality_cnn)
 }
 
 #: SQL for op8: the windows of items joined with all word runs of the same length of the documents.
@@ -87,6 +91,18 @@ select page_id, n payload_bytes,
 from bits
 """
 
+#: SQL for op3: every window with where it first starts.
+OP3_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+win as (select doc_id, i, list_aggregate(w[i:i + 19], 'string_agg', ' ') s from (select doc_id, w, unnest(range(1, len(w) - 18)) i from d where len(w) >= 20)),
+ranked as (select doc_id, i, row_number() over (partition by s order by doc_id, i) k from win),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 20)) p from ranked where k > 1)),
+word as (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from d),
+kept as (select word.doc_id, string_agg(x, ' ' order by p) t from word anti join gone on word.doc_id = gone.doc_id and word.p = gone.p group by word.doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(g.n, 0) as bigint) n_removed, sha256(coalesce(kept.t, '')) kept_sha256
+from d left join (select doc_id, count(*) n from gone group by doc_id) g using (doc_id) left join kept using (doc_id)
+"""
+
 _ESCAPE = "replace({0}, '\\', '\\\\')"
 for _control in chattree.CONTROLS:
     _ESCAPE = f"replace({_ESCAPE}, '{_control}', '{_control[0]}\\{_control[1:]}')"
@@ -102,4 +118,4 @@ select cast(conv_id as bigint) conv_id, count(*) n_turns, sha256(string_agg(r ||
 from c group by conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_warc_zstd": OP2_SQL, "op8_decontamination": OP8_SQL, "op9_chat_prefix_tree": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc_zstd": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op9_chat_prefix_tree": OP9_SQL}

@@ -221,6 +221,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its near-duplicate component."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    """``docs`` without the rows whose doc_id isn't the least of its near-duplicate component; rows without a doc_id stay."""
+    dropped = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
