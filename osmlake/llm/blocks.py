@@ -23,7 +23,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from osmlake.llm.runtime import partitions
 
 #: Bytes of text in a block (a longer document is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK, PART = "__block__", "__part__"
 
 
@@ -127,12 +127,15 @@ def _totals(table: pa.Table) -> pa.Table:
     counts = [unpack_ints(x) for x in table.column("counts").to_pylist()]
     sizes = [len(k) for k in keys]
     flat, n = np.concatenate(keys), np.concatenate(counts)
-    aside = np.where(np.repeat(np.array(apart, bool), sizes), n, 0)
+    del keys, counts
     order = np.argsort(flat)
-    ranked = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    flat = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     times = np.diff(first, append=len(flat))
-    total, total_aside = np.add.reduceat(n[order], first), np.add.reduceat(aside[order], first)
+    del flat
+    total = np.add.reduceat(n[order], first)
+    n[~np.repeat(np.array(apart, bool), sizes)] = 0
+    total_aside = np.add.reduceat(n[order], first)
     back, back_aside = np.empty_like(n), np.empty_like(n)
     back[order], back_aside[order] = np.repeat(total, times), np.repeat(total_aside, times)
     cut = np.cumsum(sizes)[:-1]
@@ -168,7 +171,7 @@ def answers(rows: pa.Table, parts: int, kinds: int, column: str = "counts") -> l
 
 def key_parts(docs: DataFrame) -> int:
     """Partitions of the key space, in proportion to the documents."""
-    return partitions(docs, 6 << 20)
+    return partitions(docs, 3 << 20)
 
 
 def not_null(df: DataFrame) -> DataFrame:
