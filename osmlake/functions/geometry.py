@@ -26,6 +26,7 @@ FUNCTIONS = {
     "geo_clean": ("Clean", "binary"),
     "geo_clean_relation": ("CleanRelation", "binary"),
     "geo_simplify": ("Simplify", "binary"),
+    "geo_same": ("Same", "boolean"),
     "geo_is_empty": ("IsEmpty", "boolean"),
     "geo_is_valid": ("IsValid", "boolean"),
     "geo_is_closed": ("IsClosed", "boolean"),
