@@ -24,6 +24,8 @@ from osmlake.llm.runtime import partitions
 
 #: Bytes of text in a block (a longer document is a block of its own).
 BLOCK_BYTES = 4 << 20
+#: Most buckets of the table of blocks (Spark allows 100,000); a bucket then has several blocks, which changes no result.
+BUCKETS = 1 << 15
 BLOCK, PART = "__block__", "__part__"
 
 
@@ -91,7 +93,7 @@ def block_table(docs: DataFrame, base: str, apart: str | None = None) -> DataFra
 
     name = f"llm_blocks_{uuid.uuid4().hex}"
     placed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(BLOCK, LongType())]))
-    placed.write.option("compression", "zstd").option("path", f"{base}/blocks").bucketBy(partitions(docs, BLOCK_BYTES), BLOCK).saveAsTable(name)
+    placed.write.option("compression", "zstd").option("path", f"{base}/blocks").bucketBy(min(BUCKETS, partitions(docs, BLOCK_BYTES)), BLOCK).saveAsTable(name)
     return spark.table(name)
 
 

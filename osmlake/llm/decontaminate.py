@@ -21,11 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from osmlake.llm import textkernel as tk
+from osmlake.llm.runtime import materialise, shared_dir
 
 #: Words of a window, words of a shingle.
 WINDOW, SHINGLE = 13, 3
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is joined block by block.
 BLOCK = 8 << 20
+#: Blocks that one pass over the documents holds in memory.
+HELD = 4
+#: Columns of the hits so far.
+MASK, MET = "__hit_words__", "__met_items__"
 
 
 @dataclass
@@ -188,53 +193,80 @@ def _benchmark_blocks(benchmark: DataFrame) -> Iterator[tuple[list[bytes], list[
     yield texts, ids
 
 
+def _judge(texts: list[bytes], tables: list, masks: list[bytes | None], met: list[list[str] | None]) -> Iterator[tuple[np.ndarray, set[str]]]:
+    """(hit words, items) of every text under some tables, added to what earlier tables have found."""
+    for a, b in tk.blocks(texts):
+        w = tk.Words(texts[a:b], tk.ALNUM_TABLE, lower=True)
+        edge = np.zeros(len(w) + 1, np.int64)
+        items = [set(x or ()) for x in met[a:b]]
+        for shared in tables:
+            table, ids = shared.value
+            start, window = hits(table, w)
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + table.windows.size[window], -1)
+            owner = np.searchsorted(w.first, start, side="right") - 1
+            for k, i in zip(owner.tolist(), table.windows.item[window].tolist()):
+                items[k].add(ids[i])
+        hit = np.cumsum(edge[:-1]) > 0
+        for k in range(b - a):
+            own = hit[w.first[k] : w.first[k + 1]]
+            mask = masks[a + k]
+            if mask is not None:
+                own = own | np.unpackbits(np.frombuffer(mask, np.uint8), count=len(own)).astype(bool)
+            yield own, items[k]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, keep_rows: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every document.
 
     A word is hit if it lies in any occurrence of a window of any item.
     Null and empty texts have no words; items without words have no windows;
     items that share an id count once.  A benchmark of any size works: it is
-    taken in blocks of ``BLOCK`` bytes, each broadcast, and what the blocks
-    find is gathered by document.
+    taken in blocks of ``BLOCK`` bytes, each broadcast.  Up to ``HELD`` blocks
+    are searched in one pass; beyond that each pass leaves its hits beside the
+    documents in a table of the shared folder and the next one adds to them.
     ``keep_rows``: return instead the whole rows of ``docs`` that aren't contaminated.
     """
     spark = docs.sparkSession
-    tables = []
+    rows = docs if keep_rows else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = rows.columns
+    base, passes, tables = shared_dir(spark), 0, []
+    state = rows.withColumns({MASK: F.lit(None).cast("binary"), MET: F.lit(None).cast("array<string>")})
     for texts, ids in _benchmark_blocks(benchmark):
-        tables.append(spark.sparkContext.broadcast((prefixes(texts, shingle_counts(docs, texts)), ids)))
-
-    def judge(texts: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
-        for a, b in tk.blocks(texts):
-            w = tk.Words(texts[a:b], tk.ALNUM_TABLE, lower=True)
-            edge = np.zeros(len(w) + 1, np.int64)
-            items: list[set[str]] = [set() for _ in range(b - a)]
-            for shared in tables:
-                table, ids = shared.value
-                start, window = hits(table, w)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + table.windows.size[window], -1)
-                owner = np.searchsorted(w.first, start, side="right") - 1
-                for k, i in zip(owner.tolist(), table.windows.item[window].tolist()):
-                    items[k].add(ids[i])
-            hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-            n_hit = hit[w.first[1:]] - hit[w.first[:-1]]
-            yield from zip(w.counts().tolist(), n_hit.tolist(), (sorted(x) for x in items))
+        if len(tables) == HELD:
+            state = materialise(_add(state, tables), f"{base}/{passes}")
+            passes, tables = passes + 1, []
+        tables.append(spark.sparkContext.broadcast((prefixes(texts, shingle_counts(rows, texts)), ids)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.small_batches(batches):
-            rows = list(judge(tk.as_bytes(batch.column(1))))
-            n, hit, items = (list(x) for x in zip(*rows))
+            found = list(_judge(tk.as_bytes(batch.column("text")), tables, batch.column(MASK).to_pylist(), batch.column(MET).to_pylist()))
+            n = [len(h) for h, _ in found]
+            hit = [int(h.sum()) for h, _ in found]
+            bad = [h > 0 and 20 * h >= m for m, h in zip(n, hit)]
+            if keep_rows:
+                yield batch.select(names).filter(pa.array([not b for b in bad], pa.bool_()))
+                continue
+            items = [sorted(x) for _, x in found]
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array([h > 0 and 20 * h >= m for m, h in zip(n, hit)], pa.bool_())],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array(bad, pa.bool_())],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = docs.schema if keep_rows else "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return state.mapInArrow(finish, schema)
+
+
+def _add(state: DataFrame, tables: list) -> DataFrame:
+    """The state after some more tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.small_batches(batches):
-            yield batch.filter(pa.array([not (h > 0 and 20 * h >= m) for m, h, _ in judge(tk.as_bytes(batch.column("text")))], pa.bool_()))
+            found = list(_judge(tk.as_bytes(batch.column("text")), tables, batch.column(MASK).to_pylist(), batch.column(MET).to_pylist()))
+            masks = pa.array([np.packbits(h).tobytes() for h, _ in found], pa.binary())
+            met = pa.array([sorted(x) for _, x in found], pa.list_(pa.string()))
+            columns = [masks if n == MASK else met if n == MET else c for n, c in zip(batch.schema.names, batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    if keep_rows:
-        return docs.mapInArrow(keep, docs.schema)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return state.mapInArrow(run, state.schema)
