@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from osmlake.llm import textkernel as tk
-from osmlake.llm.runtime import fold, stable_rank
+from osmlake.llm.runtime import bounded_sample, fold
 
 #: Weights of the model (a power of two); the last is the bias.
 BUCKETS = 1 << 18
@@ -144,7 +144,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, column: str, each: int,
     driver's memory and the broadcast of ids bounded at any corpus size.
     """
     usable = labels.where(f"{column} in (0, 1) and doc_id is not null").where(fold("doc_id", 5) != 0).select("doc_id", F.col(column).cast("int").alias("label")).distinct()
-    chosen = usable.where("label = 1").orderBy(stable_rank("doc_id"), "doc_id").limit(each).union(usable.where("label = 0").orderBy(stable_rank("doc_id"), "doc_id").limit(each))
+    chosen = bounded_sample(usable.where("label = 1"), ["doc_id"], each).union(bounded_sample(usable.where("label = 0"), ["doc_id"], each))
     texts = docs.where("text is not null").where(F.octet_length("text") <= longest).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = texts.select("doc_id", "label", F.col("text").cast("binary").alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
     return tk.as_bytes(rows.column("text").combine_chunks()), rows.column("label").to_numpy().astype(np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from osmlake.llm import textkernel as tk
-from osmlake.llm.runtime import materialise, partitions, shared_dir, stable_rank
+from osmlake.llm.runtime import bounded_sample, materialise, partitions, shared_dir
 
 #: The magic numbers of a dictionary's skippable frame and of a data frame.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -136,7 +136,7 @@ def read_archive(data: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of payloads (empty where zstd can't make one of so few)."""
-    sample = pages.where("html is not null").where(F.octet_length("html") <= SAMPLE_BYTES).orderBy(stable_rank("page_id"), "page_id", "html").limit(SAMPLE)
+    sample = bounded_sample(pages.where("html is not null").where(F.octet_length("html") <= SAMPLE_BYTES), ["page_id", "html"], SAMPLE)
     texts = [bytes(r[0]) for r in sample.select(F.col("html").cast("binary")).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY, texts).as_bytes()
