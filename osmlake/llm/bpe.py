@@ -6,6 +6,10 @@ first character, whatever that cuts through; where its boundaries meet those
 of the chunk before it inside their overlap, the two are stitched.  Matches
 that end within ``AHEAD`` characters of the end of a chunk are not trusted.
 If no boundary is shared, the earlier chunk goes on to where one is.
+
+Chunks of documents above ``LONG`` characters are rows of their own, dealt over
+all tasks for pre-tokenising and gathered by document to be stitched; shorter
+documents are cut, stitched and encoded within a task.
 """
 
 from __future__ import annotations
@@ -21,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from osmlake.llm import textkernel as tk
+from osmlake.llm.runtime import partitions
 
 #: Characters in a chunk, and how many of them the next chunk repeats.
 CHUNK, OVERLAP = 1 << 16, 1 << 9
+#: Documents of more characters are pre-tokenised by many tasks.
+LONG = 1 << 21
 #: Characters after a match that the pattern may have to see (the longest contraction has three).
 AHEAD = 4
 #: Pieces whose ids a worker remembers.
@@ -41,39 +48,42 @@ def boundaries(pattern, text: str, start: int, stop: int) -> list[int]:
     return [start + m.end() for m in pattern.finditer(text[start:stop])]
 
 
+def chunk_starts(length: int, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Where the chunks of a text begin; the last one reaches its end."""
+    return list(range(0, max(1, length - overlap), max(1, chunk - overlap)))
+
+
+def stitch(pattern, text: str, found: list[tuple[int, int, list[int]]]) -> list[int]:
+    """Boundaries of the whole text, from (start, stop, boundaries) of its chunks in order."""
+    cuts = [0]
+    for start, stop, ends in found:
+        if stop <= cuts[-1] or cuts[-1] == len(text):
+            continue
+        trusted = ends if stop == len(text) else [x for x in ends if x <= stop - AHEAD]
+        shared = {start, *trusted}
+        k = len(cuts) - 1
+        while k >= 0 and cuts[k] >= start and cuts[k] not in shared:
+            k -= 1
+        if k >= 0 and cuts[k] >= start:
+            at = cuts[k]
+            del cuts[k + 1 :]
+            cuts += [x for x in trusted if x > at]
+            continue
+        span = 2 * (stop - cuts[-1])  # no boundary is shared: go on from the last one, over a span that grows
+        while cuts[-1] < stop - AHEAD or stop == len(text) != cuts[-1]:
+            end = min(len(text), cuts[-1] + span)
+            more = boundaries(pattern, text, cuts[-1], end)
+            cuts += more if end == len(text) else [x for x in more if x <= end - AHEAD]
+            span *= 2
+    return cuts
+
+
 def stitched(pattern, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     """The pre-tokens of the whole text, from those of its overlapping chunks."""
     if len(text) <= chunk:
         return pattern.findall(text)
-    cuts: list[int] = [0]
-    start, step = 0, max(1, chunk - overlap)
-    while cuts[-1] < len(text):
-        stop = min(len(text), start + chunk)
-        found = boundaries(pattern, text, start, stop)
-        trusted = found if stop == len(text) else [x for x in found if x <= stop - AHEAD]
-        if not start:
-            cuts += trusted
-        else:
-            shared = set(trusted)
-            shared.add(start)
-            k = len(cuts) - 1
-            while k >= 0 and cuts[k] >= start and cuts[k] not in shared:
-                k -= 1
-            if k >= 0 and cuts[k] >= start:
-                at = cuts[k]
-                del cuts[k + 1 :]
-                cuts += [x for x in trusted if x > at]
-            else:  # no boundary is shared: go on from the last one, over a span that grows until it has a boundary
-                at, span = cuts[-1], chunk
-                while True:
-                    end = min(len(text), at + span)
-                    more = boundaries(pattern, text, at, end)
-                    more = more if end == len(text) else [x for x in more if x <= end - AHEAD]
-                    if more:
-                        break
-                    span *= 2
-                cuts += more
-        start = max(start + step, cuts[-1] - overlap) if cuts[-1] < len(text) else len(text)
+    spans = [(a, min(len(text), a + chunk)) for a in chunk_starts(len(text), chunk, overlap)]
+    cuts = stitch(pattern, text, [(a, b, boundaries(pattern, text, a, b)) for a, b in spans])
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
@@ -101,9 +111,12 @@ class ByteBpe:
         return cls._held[key]
 
     def encode(self, text: str) -> list[int]:
+        return self.encode_pieces(stitched(self.pattern, text))
+
+    def encode_pieces(self, pieces: list[str]) -> list[int]:
         ids: list[int] = []
         known = self._ids
-        for piece in stitched(self.pattern, text):
+        for piece in pieces:
             try:
                 ids += known[piece]
             except KeyError:
@@ -117,17 +130,49 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def _encoded(docs: DataFrame, ranks, pattern: str, finish, schema) -> DataFrame:
+    """``finish(doc ids, lists of token ids)`` of all documents; long ones take the way over chunk rows."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    is_long = F.coalesce(F.length("text") > LONG, F.lit(False))
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBpe.of(ranks.value, pattern)
+        for batch in tk.small_batches(batches):
+            texts = batch.column(1).to_pylist()
+            yield finish(batch.column(0), [bpe.encode(t or "") for t in texts], bpe)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rx = regex.compile(pattern)
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = [row["at"] + x for x in boundaries(rx, row["piece"], 0, len(row["piece"]))]
+                yield pa.RecordBatch.from_pylist([row | {"ends": found}], schema=pa.schema([*batch.schema, ("ends", pa.list_(pa.int64()))]))
+
+    def join(rows: pa.Table) -> pa.Table:
+        bpe = ByteBpe.of(ranks.value, pattern)
+        copies = rows.column("at").to_pylist().count(0)
+        unique = {r["at"]: r for r in rows.to_pylist()}
+        parts = [unique[k] for k in sorted(unique)]
+        text = "".join(p["piece"][: q["at"] - p["at"]] for p, q in zip(parts, parts[1:])) + parts[-1]["piece"]
+        cuts = stitch(bpe.pattern, text, [(p["at"], p["at"] + len(p["piece"]), p["ends"]) for p in parts])
+        ids = bpe.encode_pieces([text[a:b] for a, b in zip(cuts, cuts[1:])])
+        return pa.Table.from_batches([finish(pa.array([parts[0]["doc_id"]] * copies, pa.int64()), [ids] * copies, bpe)])
+
+    step = max(1, CHUNK - OVERLAP)
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - OVERLAP - 1, F.lit(0)), F.lit(step))
+    chunks = slim.where(is_long).select("doc_id", F.xxhash64("text").alias("h"), "text", F.explode(starts).alias("at")).select("doc_id", "h", F.col("at").cast("long").alias("at"), F.substring("text", F.col("at") + 1, F.lit(CHUNK)).alias("piece"))
+    spread = chunks.repartition(partitions(docs, 16 << 20), "doc_id", "h", "at").mapInArrow(cut, "doc_id long, h long, at long, piece string, ends array<long>")
+    return slim.where(~is_long).mapInArrow(short, schema).unionByName(spread.groupBy("doc_id", "h").applyInArrow(join, schema))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the token ids of every whole text; null text: no ids.  Extra columns are ignored."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.of(ranks.value, pattern)
-        for batch in tk.small_batches(batches):
-            ids = [bpe.encode(x or "") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+    def finish(doc_ids: pa.Array, ids: list[list[int]], _: ByteBpe) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return _encoded(docs, ranks, pattern, finish, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -151,22 +196,17 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool =
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.of(ranks.value, pattern)
-        digits = bpe.digits.__getitem__
-        for batch in tk.small_batches(batches):
-            n, ids_sha, out_sha, kept = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text or "")
-                n.append(len(ids))
-                if keep_ids:
-                    kept.append(ids)
-                ids_sha.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
-                out_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    def finish(doc_ids: pa.Array, ids: list[list[int]], bpe: ByteBpe) -> pa.RecordBatch:
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        columns = [
+            doc_ids,
+            pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([sha(" ".join(map(bpe.digits.__getitem__, x)).encode()) for x in ids], pa.string()),
+            pa.array([sha(bpe.decode(x)) for x in ids], pa.string()),
+        ]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if keep_ids:
+            columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return _encoded(docs, ranks, pattern, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

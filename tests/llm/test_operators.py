@@ -85,7 +85,11 @@ def encoding():
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_bpe_round_trip(docs, texts, nothing, encoding):
+@pytest.mark.parametrize("long", [bpe.LONG, 100])
+def test_bpe_round_trip(docs, texts, nothing, encoding, long, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG", long)
+    monkeypatch.setattr(bpe, "CHUNK", 200 if long == 100 else bpe.CHUNK)
+    monkeypatch.setattr(bpe, "OVERLAP", 20 if long == 100 else bpe.OVERLAP)
     want = Counter()
     for i, t in texts:
         ids = encoding.encode_ordinary(t or "")
