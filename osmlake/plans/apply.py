@@ -9,6 +9,7 @@ the same sets.
 from __future__ import annotations
 
 import logging
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,11 +135,17 @@ def apply_change_file(db: Database, path: str, allow_gaps: bool = False, max_dep
     apply_records(db, read_changes(db.spark, path), path.rsplit("/", 1)[-1], sequence_of(path), allow_gaps, max_depth)
 
 
-def apply_next(db: Database, server: Server, folder: str) -> str | None:
-    """Fetch and apply the next pending file; its path, or None when up to date."""
-    path = next_change_file(server, folder, db.min_applied(), db.max_timestamp())
+def apply_next(db: Database, server: Server, folder: str, keep_file: bool = True) -> str | None:
+    """Fetch and apply the next pending file; its path, or None when up to date.
+
+    ``keep_file=False`` removes the fetched file once it is applied.
+    """
+    applied = db.min_applied()
+    path = next_change_file(server, folder, applied, db.max_timestamp() if applied is None else None)
     if path is not None:
         apply_change_file(db, path)
+        if not keep_file:
+            Path(path).unlink()
     return path
 
 

@@ -97,7 +97,7 @@ class SnapshotStore:
         paths = [p for s, own in meta["slots"].items() if slots is None or s in slots for p in own]
         schema = self._schema(meta)
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
         return self.spark.read.schema(schema).parquet(*paths)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
