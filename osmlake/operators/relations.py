@@ -66,7 +66,8 @@ def build_relation_geometry(relations: DataFrame, ways: DataFrame, nodes: DataFr
     ways_in = ways_in.join(_shapes(ways), "ref")
     pick = lambda cond: F.collect_list(F.when(cond, F.col("geom")))
     kind = F.col("kind")
-    gathered = ways_in.groupBy("relation_id", "kind").agg(
+    gathered = ways_in.groupBy("relation_id").agg(
+        F.first("kind").alias("kind"),
         pick(kind.isin(*POLYGON_TYPES) & (F.col("role") == "outer")).alias("outer"),
         pick(kind.isin(*POLYGON_TYPES) & (F.col("role") == "inner")).alias("inner"),
         pick(~kind.isin(*POLYGON_TYPES)).alias("any"),
