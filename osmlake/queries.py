@@ -24,8 +24,9 @@ from osmlake.operators.finalize import finalize, unique_by_id
 from osmlake.operators.merge import merged
 from osmlake.operators.nodes import build_node_geometry
 from osmlake.plans import inspect
-from osmlake.plans.apply import archived
-from osmlake.plans.database import Database
+from osmlake.plans.apply import apply_records, archived
+from osmlake.plans.database import TYPED, Database
+from osmlake.plans.initial_load import initialise
 from osmlake.schemas import KINDS
 from osmlake.sources import synthetic as syn
 from osmlake.sources.replication import pending_sequences
@@ -494,34 +495,38 @@ def sample_recent_by_type(spark, sf):
 _END = "select id, version, changeset from (select *, row_number() over (partition by id order by version desc) k from ch where type = 'node') where k = 1 and op <> 'delete'"
 
 
-def _to_rows(latest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return ch.upserts(latest, "node").select("id", "version", "changeset"), ch.deletes(latest, "node")
-
-
 @query(_END)
 def apply_all_end_state(spark, sf):
-    """The feed merged in three files, one after the other: the last change of each node decides."""
+    """The whole feed applied to an empty database in files of about ten days: what the typed tables hold at the end.
+
+    The SQL covers the nodes only.
+    """
     db = Database(spark, _workspace(spark))
-    db.store.create("nodes", "id bigint, version bigint, changeset bigint")
-    rows = syn.changes(spark, sf).where("type = 'node'")
-    for low in (0, 11, 21):
-        db.store.merge("nodes", *_to_rows(ch.dedup(rows.where(f"sequence >= {low} and sequence < {low + 11 - (low > 0)}"))), last_applied_sequence=low)
-    last = rows.where("sequence > 30")
-    db.store.merge("nodes", *_to_rows(ch.dedup(last)), last_applied_sequence=31)
-    return db.read("nodes")
+    initialise(db, {"node": syn.nodes(spark, sf).limit(0), "way": syn.ways(spark, sf).limit(0), "relation": syn.relations(spark, sf).limit(0)})
+    rows = syn.changes(spark, sf)
+    slices = (F.col("sequence") < 11, F.col("sequence").between(11, 20), F.col("sequence").between(21, 30), F.col("sequence") > 30)
+    for k, chosen in enumerate(slices, 1):
+        apply_records(db, rows.where(chosen), f"{k}.osc.gz", k)
+    return _typed_rows(db, "id", "version", "changeset")
+
+
+def _typed_rows(db: Database, *columns: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [db.read(t).select(F.lit(k).alias("type"), *columns) for k, t in TYPED.items()])
 
 
 @query("select id, max(event_id) as version from (select user_id id, event_id, event_type, max(event_id) over (partition by user_id) last from events where event_id % 3 = 0) where event_id = last and event_type <> 'error' group by id", graph=False)
 def stream_end_state(spark, sf):
-    """The feed as a stream into a table, versions being event ids."""
+    """The feed as a stream into a table for each type, versions being event ids.  The SQL covers the nodes only."""
     db = Database(spark, _workspace(spark))
-    db.store.create("nodes", "id bigint, version bigint")
     path = f"{sf}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/events.parque[t]")  # as a pattern it may be a file
-    records = syn.from_events(events).where("type = 'node'").withColumn("version", F.col("event_id"))
-    to_rows = lambda latest: (ch.upserts(latest, "node").select("id", "version"), ch.deletes(latest, "node"))
-    start_merges(db.store, "nodes", records, to_rows, f"{_workspace(spark)}/checkpoint").awaitTermination()
-    return db.read("nodes")
+    schema = spark.read.parquet(path).schema
+    for kind, name in TYPED.items():
+        db.store.create(name, "id bigint, version bigint")
+        events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")  # as a pattern it may be a file
+        records = syn.from_events(events).where(F.col("type") == kind).withColumn("version", F.col("event_id"))
+        to_rows = lambda latest, kind=kind: (ch.upserts(latest, kind).select("id", "version"), ch.deletes(latest, kind))
+        start_merges(db.store, name, records, to_rows, f"{_workspace(spark)}/checkpoint").awaitTermination()
+    return _typed_rows(db, "id", "version")
 
 
 @query("select id, case when id % 10 = 0 then 'deleted' else 'modified' end change from n where id % 10 = 0 or id % 10 = 1")

@@ -1,5 +1,7 @@
 """Registered queries over the whole of their tables, against DuckDB where the SQL covers them."""
 
+from collections import defaultdict
+
 import duckdb
 
 from osmlake import queries as q
@@ -25,3 +27,48 @@ def test_archive_has_every_sequence(spark):
     whole = f"with {syn.SQL}{q._LATEST} select seq, concat(seq, '.osc.gz'), count(*), cast(sum(changeset) as bigint) from l where k = 1 group by all"
     assert got == sql(whole) and len(got) > 5
     assert [r for r in got if r[0] <= 5] == sql(q.ORACLE_SQL["change_archive_by_sequence"])
+
+
+def replayed(changes):
+    """The typed tables after the feed, by hand: changes are (type, slice, id, op, version, changeset, lat, lon)."""
+    nodes, ways, relations, found = {}, {}, {}, defaultdict(dict)
+    for kind, part, i, op, version, changeset, lat, lon in sorted(changes, key=lambda c: c[4]):
+        found[part][kind, i] = (op, version, changeset, lat, lon)
+    for part in sorted(found):
+        latest, moved = found[part], set()
+        for (kind, i), (op, version, changeset, lat, lon) in latest.items():
+            if kind == "node" and op == "delete":
+                nodes.pop(i, None)
+            elif kind == "node":
+                if i not in nodes or nodes[i][2:] != (lat, lon):
+                    moved.add(i)
+                nodes[i] = (version, changeset, lat, lon)
+        dirty = {i: w for i, w in ways.items() if moved & set(w[2])}
+        for (kind, i), (op, version, changeset, _, _) in latest.items():
+            if kind == "way" and op != "delete":
+                dirty[i] = (version, changeset, (i, i + 1, i + 2, changeset % 100))
+            elif kind == "relation" and op != "delete":
+                relations[i] = (version, changeset)
+        ways |= {i: w for i, w in dirty.items() if sum(r in nodes for r in w[2]) >= 2}
+        for (kind, i), (op, *_) in latest.items():
+            if op == "delete":
+                {"node": {}, "way": ways, "relation": relations}[kind].pop(i, None)
+    return sorted((k, i, *v[:2]) for k, t in (("node", nodes), ("way", ways), ("relation", relations)) for i, v in t.items())
+
+
+def test_apply_all_has_all_types(spark):
+    got = rows(q.QUERIES["apply_all_end_state"](spark, SF))
+    feed = sql(f"with {syn.SQL} select type, case when seq < 11 then 1 when seq <= 20 then 2 when seq <= 30 then 3 else 4 end, id, op, version, changeset, lat, lon from ch")
+    assert got == replayed(feed) and {r[0] for r in got} == {"node", "way", "relation"}
+    assert [r[1:] for r in got if r[0] == "node"] == sql(q.ORACLE_SQL["apply_all_end_state"])
+    last = q._END.replace("partition by id", "partition by type, id").replace("where type = 'node'", "").replace("select id", "select type, id", 1)
+    last = sql(f"with {syn.SQL} {last}")
+    assert [r for r in got if r[0] != "way"] == [r for r in last if r[0] != "way"]
+    assert {r[:2] for r in got} <= {r[:2] for r in last}  # ways need two nodes
+
+
+def test_stream_has_all_types(spark):
+    got = rows(q.QUERIES["stream_end_state"](spark, SF))
+    whole = "select case event_id % 3 when 0 then 'node' when 1 then 'way' else 'relation' end kind, user_id, event_id from events qualify event_id = max(event_id) over (partition by user_id, event_id % 3) and event_type <> 'error'"
+    assert got == sql(whole) and {r[0] for r in got} == {"node", "way", "relation"}
+    assert [r[1:] for r in got if r[0] == "node"] == sql(q.ORACLE_SQL["stream_end_state"])
