@@ -308,7 +308,7 @@ def idx_relation_to_relations(spark, sf):
 def idx_refresh(spark, sf):
     """The first reference of every seventh way is taken away, then its edges are refreshed."""
     ways = syn.ways(spark, sf)
-    now = ways.withColumn("refs", F.when(F.col("id") % 7 == 0, F.slice("refs", 2, 10_000)).otherwise(F.col("refs")))
+    now = ways.withColumn("refs", F.when(F.col("id") % 7 == 0, F.slice("refs", F.lit(2), F.greatest(F.size("refs") - 1, F.lit(0)))).otherwise(F.col("refs")))
     return edges.refresh(edges.node_to_ways(ways), now, ways.where("id % 7 = 0").select("id"), "node_to_ways")
 
 

@@ -72,3 +72,10 @@ def test_stream_has_all_types(spark):
     whole = "select case event_id % 3 when 0 then 'node' when 1 then 'way' else 'relation' end kind, user_id, event_id from events qualify event_id = max(event_id) over (partition by user_id, event_id % 3) and event_type <> 'error'"
     assert got == sql(whole) and {r[0] for r in got} == {"node", "way", "relation"}
     assert [r[1:] for r in got if r[0] == "node"] == sql(q.ORACLE_SQL["stream_end_state"])
+
+
+def test_idx_refresh_keeps_long_ways(spark, monkeypatch):
+    long = [(7, list(range(10_050))), (14, []), (21, [5]), (28, [5, 6]), (8, [1, 2])]
+    monkeypatch.setattr(syn, "ways", lambda *_: spark.createDataFrame(long, "id bigint, refs array<bigint>"))
+    want = sorted((n, i) for i, refs in long for n in (refs[1:] if i % 7 == 0 else refs))
+    assert rows(q.QUERIES["idx_refresh"](spark, SF)) == want
