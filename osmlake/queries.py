@@ -26,7 +26,7 @@ from osmlake.operators.nodes import build_node_geometry
 from osmlake.plans import inspect
 from osmlake.plans.apply import apply_records, archived
 from osmlake.plans.database import TYPED, Database
-from osmlake.plans.initial_load import initialise
+from osmlake.plans.initial_load import build_relations, initialise
 from osmlake.schemas import KINDS
 from osmlake.sources import synthetic as syn
 from osmlake.sources.replication import pending_sequences
@@ -237,9 +237,9 @@ def fallback_relations(spark, sf):
 
 @query("select m.id, cast(min(xmin) as float) xmin, cast(max(xmax) as float) xmax, cast(min(ymin) as float) ymin, cast(max(ymax) as float) ymax from m join wa on wa.id = m.ref and n_points >= 2 where mtype = 'way' and kind = 'route' group by m.id")
 def relation_bbox(spark, sf):
-    routes = syn.relations(spark, sf).where(F.col("tags")["type"] == "route")
-    out = rel.merge_relation_geometry(routes, rel.build_relation_geometry(routes, _lines(spark, sf)))
-    return finalize(out, "relation").where("bbox is not null").select("id", "bbox.xmin", "bbox.xmax", "bbox.ymin", "bbox.ymax")
+    """Boxes of all relations that have a geometry.  The SQL covers routes only: exact overlay isn't for SQL."""
+    out = build_relations(syn.relations(spark, sf), _lines(spark, sf), build_node_geometry(syn.nodes(spark, sf)))
+    return out.where("bbox is not null").select("id", "bbox.xmin", "bbox.xmax", "bbox.ymin", "bbox.ymax")
 
 
 _MEMBER_META = ", mm as (select m.id, w.changeset cs, greatest(w.ts, wa.nts) ts from m join wa on wa.id = m.ref and mtype = 'way' and n_points >= 2 join w on w.id = m.ref union all select m.id, n.changeset, n.ts from m join n on n.id = m.ref and mtype = 'node')"

@@ -79,3 +79,12 @@ def test_idx_refresh_keeps_long_ways(spark, monkeypatch):
     monkeypatch.setattr(syn, "ways", lambda *_: spark.createDataFrame(long, "id bigint, refs array<bigint>"))
     want = sorted((n, i) for i, refs in long for n in (refs[1:] if i % 7 == 0 else refs))
     assert rows(q.QUERIES["idx_refresh"](spark, SF)) == want
+
+
+def test_relation_bbox_of_all_types(spark):
+    got = rows(q.QUERIES["relation_bbox"](spark, SF))
+    kinds = dict(sql(f"with {syn.SQL} select id, kind from r"))
+    assert {kinds[r[0]] for r in got} == {"multipolygon", "boundary", "route", "site", "restriction"}
+    assert [r for r in got if kinds[r[0]] == "route"] == sql(q.ORACLE_SQL["relation_bbox"])
+    within = "select m.id, cast(min(lo) as float), cast(max(hi) as float) from m join (select id, 'way' mtype, xmin lo, xmax hi from wa where n_points >= 2 union all select id, 'node', floor(lon * 1e7 + 0.5) / 1e7, floor(lon * 1e7 + 0.5) / 1e7 from n) g on g.id = m.ref and g.mtype = m.mtype where kind in ('site', 'restriction') group by m.id"
+    assert [r[:3] for r in got if kinds[r[0]] in ("site", "restriction")] == sql(f"with {syn.SQL} {within}")
