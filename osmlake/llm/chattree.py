@@ -30,7 +30,7 @@ ROLE = "[ROLE]"
 CONTROLS = (BOS, EOS, OPEN, CLOSE, ROLE, ROLE_END)
 #: The role whose text is learned.
 LEARNED = "assistant"
-#: Code points after which a pack is closed.
+#: Code points, beyond the shared part of the path it begins in, after which a pack is closed.
 PACK = 1 << 16
 
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS))
@@ -95,8 +95,10 @@ def with_turns(conversations: DataFrame) -> DataFrame:
 def pack(conversations: DataFrame, limit: int = PACK) -> DataFrame:
     """Packs of all conversations: (text, nodes, leaves), in depth-first order of the prefix tree.
 
-    A conversation that is longer than ``limit`` gets a pack of its own.  An
-    empty table gives no packs.  Extra columns are ignored.
+    What the next conversation shares with the path a pack begins in doesn't
+    count towards ``limit``, and one that adds nothing joins the open pack, so
+    prefixes longer than a pack are shared too.  An empty table gives no packs.
+    Extra columns are ignored.
     """
     turns = with_turns(conversations)
     sort_key = F.concat_ws("", F.col("path"))
@@ -114,7 +116,7 @@ def pack(conversations: DataFrame, limit: int = PACK) -> DataFrame:
         nodes: list[dict] = []
         leaves: list[dict] = []
         stack: list[tuple[str, int]] = []  # (digest of the path so far, node)
-        size = 0
+        size = first = 0  # code points of the pack, nodes of the path it begins in
 
         def close() -> pa.RecordBatch:
             nonlocal texts, nodes, leaves, stack, size
@@ -124,12 +126,14 @@ def pack(conversations: DataFrame, limit: int = PACK) -> DataFrame:
 
         for batch in batches:
             for conv_id, own, path in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turns", "path"))):
-                if leaves and size >= limit:
-                    yield close()
                 common = 0
                 while common < min(len(stack), len(path)) and stack[common][0] == path[common]:
                     common += 1
                 del stack[common:]
+                repeated = max((nodes[n]["end"] for _, n in stack if n < first), default=0)
+                if leaves and common < len(path) and size - repeated >= limit:
+                    yield close()
+                    common = 0
                 for digest, turn in zip(path[common:], own[common:]):
                     text, a, b = format_turn(turn["role"], turn["text"])
                     parent = stack[-1][1] if stack else -1
@@ -139,6 +143,7 @@ def pack(conversations: DataFrame, limit: int = PACK) -> DataFrame:
                     texts.append(text)
                     size += len(text)
                     stack.append((digest, len(nodes) - 1))
+                first = first if leaves else len(nodes)
                 leaves.append({"conv_id": conv_id, "node": stack[-1][1]})
         if leaves:
             yield close()

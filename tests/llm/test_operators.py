@@ -419,6 +419,19 @@ def test_chat_packs(spark):
     assert chattree.round_trip(frame.limit(0)).count() == 0
 
 
+def test_chat_packs_share_prefixes_longer_than_a_pack(spark):
+    said = [(c, t, role, text) for c in range(200) for t, role, text in ((0, "user", "x" * 500), (1, "assistant", f"{c % 150:03}"))]  # the last 50 are copies
+    frame = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").coalesce(1)
+    packs = chattree.pack(frame, 100).collect()
+    assert sum(len(p.leaves) for p in packs) == 200
+    assert sum(n.parent == -1 for p in packs for n in p.nodes) == len(packs) <= 60  # once a pack, not once a conversation
+    by_id = lambda df: sorted(map(tuple, df.collect()))
+    assert by_id(chattree.read_packs(chattree.pack(frame, 100))) == by_id(chattree.read_packs(chattree.pack(frame)))
+    assert all(sum(n.end - n.begin for n in p.nodes if n.parent != -1) < 200 for p in packs)
+    copies = chattree.pack(frame.where("turn = 0"), 100).collect()
+    assert sum(len(p.leaves) for p in copies) == 200 and sum(len(p.nodes) for p in copies) == len(copies) <= 60
+
+
 def test_escapes_are_reversible():
     r = random.Random(6)
     for _ in range(2000):
