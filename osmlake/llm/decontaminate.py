@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from osmlake.llm import textkernel as tk
-from osmlake.llm.runtime import materialise, shared_dir
+from osmlake.llm.runtime import fresh_name, materialise, shared_dir
 
 #: Words of a window, words of a shingle.
 WINDOW, SHINGLE = 13, 3
@@ -29,8 +29,8 @@ WINDOW, SHINGLE = 13, 3
 BLOCK = 8 << 20
 #: Blocks that one pass over the documents holds in memory.
 HELD = 4
-#: Columns of the hits so far.
-MASK, MET = "__hit_words__", "__met_items__"
+#: Columns of the hits so far, and whether a window of full length is among them.
+MASK, MET, FULL = "__hit_words__", "__met_items__", "__full_window__"
 
 
 @dataclass
@@ -193,18 +193,21 @@ def _benchmark_blocks(benchmark: DataFrame) -> Iterator[tuple[list[bytes], list[
     yield texts, ids
 
 
-def _judge(texts: list[bytes], tables: list, masks: list[bytes | None], met: list[list[str] | None]) -> Iterator[tuple[np.ndarray, set[str]]]:
-    """(hit words, items) of every text under some tables, added to what earlier tables have found."""
+def _judge(texts: list[bytes], tables: list, masks: list[bytes | None], met: list[list[str] | None], full: list[bool | None]) -> Iterator[tuple[np.ndarray, set[str], bool]]:
+    """(hit words, items, whether a full window was met) of every text under some tables, added to what earlier tables have found."""
     for a, b in tk.blocks(texts):
         w = tk.Words(texts[a:b], tk.ALNUM_TABLE, lower=True)
         edge = np.zeros(len(w) + 1, np.int64)
         items = [set(x or ()) for x in met[a:b]]
+        whole = np.array([bool(x) for x in full[a:b]])
         for shared in tables:
             table, ids = shared.value
             start, window = hits(table, w)
+            size = table.windows.size[window]
             np.add.at(edge, start, 1)
-            np.add.at(edge, start + table.windows.size[window], -1)
+            np.add.at(edge, start + size, -1)
             owner = np.searchsorted(w.first, start, side="right") - 1
+            whole[owner[size == WINDOW]] = True
             for k, i in zip(owner.tolist(), table.windows.item[window].tolist()):
                 items[k].add(ids[i])
         hit = np.cumsum(edge[:-1]) > 0
@@ -213,41 +216,48 @@ def _judge(texts: list[bytes], tables: list, masks: list[bytes | None], met: lis
             mask = masks[a + k]
             if mask is not None:
                 own = own | np.unpackbits(np.frombuffer(mask, np.uint8), count=len(own)).astype(bool)
-            yield own, items[k]
+            yield own, items[k], bool(whole[k])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep_rows: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, keep_rows: bool = False, any_window: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every document.
 
-    A word is hit if it lies in any occurrence of a window of any item.
-    Null and empty texts have no words; items without words have no windows;
-    items that share an id count once.  A benchmark of any size works: it is
-    taken in blocks of ``BLOCK`` bytes, each broadcast.  Up to ``HELD`` blocks
-    are searched in one pass; beyond that each pass leaves its hits beside the
-    documents in a table of the shared folder and the next one adds to them.
-    ``keep_rows``: return instead the whole rows of ``docs`` that aren't contaminated.
+    A word is hit if it lies in any occurrence of a window of any item.  A
+    document is contaminated if a twentieth or more of its words are hit;
+    ``any_window``: also if it has one window of full length, however long the
+    rest of it is (items shorter than a window count by the share alone, as a
+    word or two may stand anywhere).  Null and empty texts have no words; items
+    without words have no windows; items that share an id count once; repeated
+    rows each get a row; a null doc_id is kept as null.  An empty benchmark
+    contaminates nothing, an empty table gives an empty result.  A benchmark of
+    any size works: it is taken in blocks of ``BLOCK`` bytes, each broadcast.
+    Up to ``HELD`` blocks are searched in one pass; beyond that each pass leaves
+    its hits beside the documents in a table of the shared folder and the next
+    one adds to them.  ``keep_rows``: return instead the whole rows of ``docs``
+    that aren't contaminated, whatever their other columns are called.
     """
     spark = docs.sparkSession
     rows = docs if keep_rows else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = rows.columns
+    own = [fresh_name(rows, n) for n in (MASK, MET, FULL)]
     base, passes, tables = shared_dir(spark), 0, []
-    state = rows.withColumns({MASK: F.lit(None).cast("binary"), MET: F.lit(None).cast("array<string>")})
+    state = rows.withColumns({n: F.lit(None).cast(kind) for n, kind in zip(own, ("binary", "array<string>", "boolean"))})
     for texts, ids in _benchmark_blocks(benchmark):
         if len(tables) == HELD:
-            state = materialise(_add(state, tables), f"{base}/{passes}")
+            state = materialise(_add(state, tables, own), f"{base}/{passes}")
             passes, tables = passes + 1, []
         tables.append(spark.sparkContext.broadcast((prefixes(texts, shingle_counts(rows, texts)), ids)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.small_batches(batches):
-            found = list(_judge(tk.as_bytes(batch.column("text")), tables, batch.column(MASK).to_pylist(), batch.column(MET).to_pylist()))
-            n = [len(h) for h, _ in found]
-            hit = [int(h.sum()) for h, _ in found]
-            bad = [h > 0 and 20 * h >= m for m, h in zip(n, hit)]
+            found = list(_judge(tk.as_bytes(batch.column("text")), tables, *(batch.column(c).to_pylist() for c in own)))
+            n = [len(h) for h, *_ in found]
+            hit = [int(h.sum()) for h, *_ in found]
+            bad = [h > 0 and 20 * h >= m or any_window and full for m, h, (*_, full) in zip(n, hit, found)]
             if keep_rows:
                 yield batch.select(names).filter(pa.array([not b for b in bad], pa.bool_()))
                 continue
-            items = [sorted(x) for _, x in found]
+            items = [sorted(x) for _, x, _ in found]
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array(bad, pa.bool_())],
@@ -258,15 +268,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep_rows: bool = False
     return state.mapInArrow(finish, schema)
 
 
-def _add(state: DataFrame, tables: list) -> DataFrame:
-    """The state after some more tables."""
+def _add(state: DataFrame, tables: list, own: list[str]) -> DataFrame:
+    """The state after some more tables; ``own``: the names of its three columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.small_batches(batches):
-            found = list(_judge(tk.as_bytes(batch.column("text")), tables, batch.column(MASK).to_pylist(), batch.column(MET).to_pylist()))
-            masks = pa.array([np.packbits(h).tobytes() for h, _ in found], pa.binary())
-            met = pa.array([sorted(x) for _, x in found], pa.list_(pa.string()))
-            columns = [masks if n == MASK else met if n == MET else c for n, c in zip(batch.schema.names, batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            found = list(_judge(tk.as_bytes(batch.column("text")), tables, *(batch.column(c).to_pylist() for c in own)))
+            new = {
+                own[0]: pa.array([np.packbits(h).tobytes() for h, *_ in found], pa.binary()),
+                own[1]: pa.array([sorted(x) for _, x, _ in found], pa.list_(pa.string())),
+                own[2]: pa.array([x for *_, x in found], pa.bool_()),
+            }
+            yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(batch.schema.names, batch.columns)], batch.schema.names)
 
     return state.mapInArrow(run, state.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,19 +13,56 @@ from pyspark.sql import functions as F
 _UNKNOWN = 1 << 55
 
 
+#: Folders and tables that this process has made, until ``release``.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that the driver and all executors see.
+    """A fresh folder that the driver and all executors see, under ``spark.checkpoint.dir``.
 
-    It lies under ``spark.checkpoint.dir``.  Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    Where that is unset, a session that runs in one process (``local``) gets a
+    temporary folder of its own; on a cluster that is an error, as executors
+    wouldn't see the driver's folders.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def block_table_name() -> str:
+    """A fresh name for a table in the catalog."""
+    _MADE.append(f"llm_blocks_{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the tables and folders that the operators of this process have left; results not yet written are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    while _MADE:
+        name = _MADE.pop()
+        if "/" not in name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            continue
+        folder = path(name)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def neutral(df: DataFrame, kept: tuple[str, ...]) -> DataFrame:
+    """``df`` with all columns but ``kept`` renamed by position, so that none clashes; ``toDF`` with the old names undoes it."""
+    return df.toDF(*(c if c in kept else f"column{k}" for k, c in enumerate(df.columns)))
 
 
 def materialise(df: DataFrame, path: str) -> DataFrame:
