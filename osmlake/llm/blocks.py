@@ -15,12 +15,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from osmlake.llm.runtime import partitions
+from osmlake.llm.runtime import block_table_name, partitions
 
 #: Bytes of text in a block (a longer document is a block of its own).
 BLOCK_BYTES = 4 << 20
@@ -69,32 +70,48 @@ def split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
         yield int(own[a]), slice(a, b)
 
 
+class Dealer:
+    """Deals rows to blocks as they come: for each the block's id and its place there."""
+
+    def __init__(self, limit: int = 0):
+        self.limit = limit or BLOCK_BYTES
+        self.open: dict = {}
+
+    def deal(self, sizes: list[int], flags: list | None = None) -> tuple[list[int], list[int]]:
+        """``flags``: rows of different flags never share a block."""
+        blocks, places = [], []
+        for size, flag in zip(sizes, flags or [None] * len(sizes)):
+            block, held, n = self.open.get(flag, (0, self.limit + 1, 0))
+            if held + size > self.limit:
+                block, held, n = uuid.uuid4().int >> 66, 0, 0
+            self.open[flag] = (block, held + size + 1, n + 1)
+            blocks.append(block)
+            places.append(n)
+        return blocks, places
+
+
+def write_blocks(placed: DataFrame, n: int, base: str) -> DataFrame:
+    """A table with a block column, written once in ``n`` buckets of blocks."""
+    name = block_table_name()
+    placed.write.option("compression", "zstd").option("path", f"{base}/blocks").bucketBy(min(BUCKETS, n), BLOCK).saveAsTable(name)
+    return placed.sparkSession.table(name)
+
+
 def block_table(docs: DataFrame, base: str, apart: str | None = None) -> DataFrame:
     """``docs`` with a block column, written once as a table bucketed by block.
 
     Rows stay in the task that read them: no shuffle.  ``apart``: a boolean
     column; its true and its false rows never share a block.
     """
-    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = {}, {}
+        dealer = Dealer()
         for batch in batches:
-            sizes = np.asarray(batch.column("text").cast("binary").to_pylist(), dtype=object)
-            flags = batch.column(apart).to_pylist() if apart else [False] * batch.num_rows
-            out = []
-            for text, flag in zip(sizes, flags):
-                size = len(text) if text is not None else 0
-                if flag not in block or held[flag] + size > BLOCK_BYTES:
-                    block[flag], held[flag] = uuid.uuid4().int >> 66, 0
-                held[flag] += size + 1
-                out.append(block[flag])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, BLOCK])
-
-    name = f"llm_blocks_{uuid.uuid4().hex}"
-    placed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(BLOCK, LongType())]))
-    placed.write.option("compression", "zstd").option("path", f"{base}/blocks").bucketBy(min(BUCKETS, partitions(docs, BLOCK_BYTES)), BLOCK).saveAsTable(name)
-    return spark.table(name)
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text").cast("binary")), 0).to_pylist()
+            blocks, _ = dealer.deal(sizes, batch.column(apart).to_pylist() if apart else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], [*batch.schema.names, BLOCK])
+
+    return write_blocks(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(BLOCK, LongType())])), partitions(docs, BLOCK_BYTES), base)
 
 
 def in_order(table: pa.Table) -> pa.Table:

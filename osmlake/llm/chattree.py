@@ -77,19 +77,35 @@ PACKS = (
 )
 
 
+def path_of(turns: list[dict]) -> list[str]:
+    """The chain of digests of a conversation's turns; role and text go in with their lengths, so no two turns read alike."""
+    path, seen = [], b""
+    for turn in turns:
+        role, text = turn["role"].encode(), turn["text"].encode()
+        seen = hashlib.sha256(b"%s%d,%d:%s%s" % (seen, len(role), len(text), role, text)).digest()[:16]
+        path.append(seen.hex())
+    return path
+
+
 def with_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns, path): the turns in order and the chain of their digests.
 
     Turns are ordered by turn, role and text, nulls first; a null role or text
-    counts as empty.  Equal rows are turns of their own.
+    counts as empty.  Equal rows are turns of their own.  Rows with a null
+    conv_id are one conversation.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"),
     )
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    step = lambda seen, t: F.concat(seen, F.array(F.substring(F.sha2(F.concat(F.element_at(F.concat(F.array(F.lit("")), seen), -1), F.lit("\n"), t["role"], F.lit("\n"), t["text"]), 256), 1, 32)))
-    return grouped.withColumn("path", F.aggregate("turns", F.array().cast("array<string>"), step))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = pa.array(map(path_of, batch.column("turns").to_pylist()), pa.list_(pa.string()), size=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, paths], [*batch.schema.names, "path"])
+
+    return grouped.mapInArrow(run, "conv_id long, turns array<struct<turn:long,role:string,text:string>>, path array<string>")
 
 
 def pack(conversations: DataFrame, limit: int = PACK) -> DataFrame:

@@ -21,9 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from osmlake.llm import blocks as bk
 from osmlake.llm import textkernel as tk
 from osmlake.llm.components import connected_components
-from osmlake.llm.runtime import materialise, partitions, shared_dir
+from osmlake.llm.runtime import materialise, neutral, partitions, shared_dir
 
 #: Most bits in which linked fingerprints differ.
 RADIUS = 3
@@ -35,8 +38,10 @@ SEED = 42
 PIVOTS = np.concatenate([np.zeros(1, np.uint64), tk.mix(np.arange(1, 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))])
 #: Pairs that are held in memory at once.
 PAIR_BLOCK = 1 << 20
-#: A bucket with more fingerprints is dealt into finer buckets first.
+#: A bucket with more fingerprints is dealt into finer buckets first, inside its task.
 LARGE_BUCKET = 1024
+#: A bucket with more fingerprints is dealt over tasks, by blocks of the bits that its key leaves free.
+TASK_BUCKET = 1 << 16
 
 
 def fingerprint(text: bytes) -> int:
@@ -85,6 +90,34 @@ def bucket_masks(n: int, radius: int = RADIUS) -> list[int]:
     return _masks(list(range(64)), blocks, blocks - radius)
 
 
+def finer_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks of blocks of the bits that ``mask`` leaves free: two fingerprints of a bucket within the radius agree under one."""
+    return _masks([b for b in range(64) if not mask >> b & 1], radius + 1, 1)
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, node, mask, own, more): every fingerprint once in each bucket that it is in.
+
+    A bucket of more than ``TASK_BUCKET`` is split: its fingerprints go to the
+    finer buckets of ``finer_masks`` instead, numbered after the masks.
+    """
+    under = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("own")) for k, m in enumerate(masks)])
+    rows = nodes.where("node is not null").select("fp", "node", F.explode(under).alias("b")).select("fp", "node", "b.mask", "b.own")
+    large = rows.groupBy("mask", "own").agg(F.count("*").alias("n")).where(F.col("n") > TASK_BUCKET).select("mask", "own")
+    finer = F.array(*[F.array(*[F.lit(_signed(x)).cast("long") for x in finer_masks(m)]) for m in masks])
+    split = rows.join(large, ["mask", "own"]).select("fp", "node", "mask", "own", F.posexplode(F.get(finer, F.col("mask"))).alias("k", "under"))
+    numbered = (len(masks) + F.col("mask") * (RADIUS + 1) + F.col("k")).cast("int").alias("mask")
+    return (
+        rows.join(large, ["mask", "own"], "left_anti")
+        .select("fp", "node", "mask", "own", F.lit(0).cast("long").alias("more"))
+        .unionByName(split.select("fp", "node", numbered, "own", F.col("fp").bitwiseAND(F.col("under")).alias("more")))
+    )
+
+
 def _expand(order_key: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions i < j of a sorted array whose keys differ by at most ``reach``, in bounded blocks."""
     upto = np.searchsorted(order_key, order_key + reach, side="right")
@@ -162,13 +195,16 @@ def spanning_stars(fps: np.ndarray, group: np.ndarray, bits: list[int] | None =
     return label
 
 
+_KEY = ("mask", "own", "more")
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Star edges of each bucket of a partition that is sorted by bucket; buckets are never cut."""
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         fps, node = (t.column(c).to_numpy() for c in ("fp", "node"))
-        _, group = np.unique(np.stack([t.column("mask").to_numpy().astype(np.int64), t.column("own").to_numpy()], axis=1), axis=0, return_inverse=True)
+        _, group = np.unique(np.stack([t.column(c).to_numpy().astype(np.int64) for c in _KEY], axis=1), axis=0, return_inverse=True)
         by_node = np.argsort(node, kind="stable")
         label = spanning_stars(fps.view(np.uint64)[by_node], group.ravel()[by_node])
         node = node[by_node]
@@ -181,9 +217,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if rows >= 20_000:
             last = held[-1]
-            key = (last.column("mask")[-1].as_py(), last.column("own")[-1].as_py())
-            mask, own = batch.column("mask").to_numpy(), batch.column("own").to_numpy()
-            same = (mask == key[0]) & (own == key[1])
+            same = np.logical_and.reduce([batch.column(c).to_numpy() == last.column(c)[-1].as_py() for c in _KEY])
             cut = int(np.argmin(same)) if not same.all() else len(same)
             held.append(batch.slice(0, cut))
             batch = batch.slice(cut)
@@ -197,6 +231,14 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
+def _named(fps: DataFrame, base: str) -> DataFrame:
+    """(fp, component_id) of every fingerprint, from (doc_id, fp)."""
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), f"{base}/nodes")
+    dealt = keyed(nodes, bucket_masks(nodes.count())).repartition(partitions(nodes, 4 << 20), *_KEY).sortWithinPartitions(*_KEY)
+    groups = connected_components(dealt.select("fp", "node", *_KEY).mapInArrow(_links, "u long, v long"))
+    return nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document.
 
@@ -204,23 +246,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fingerprints that differ in at most ``RADIUS`` bits, itself included.
     Null and empty texts have fingerprint zero and link like any other.
     Rows with the same doc_id each get a row; a null doc_id takes part in no
-    choice of the least id.  Extra columns are ignored.
+    choice of the least id.  An empty table gives an empty result.  Extra
+    columns are ignored.
     """
     base = shared_dir(docs.sparkSession)
     fps = materialise(fingerprints(docs), f"{base}/fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), f"{base}/nodes")
-    masks = bucket_masks(nodes.count())
-    keyed = nodes.where("node is not null").select(
-        "fp", "node", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("own")) for k, m in enumerate(masks)])).alias("b")
-    ).select("fp", "node", "b.mask", "b.own")
-    dealt = keyed.repartition(partitions(nodes, 4 << 20), "mask", "own").sortWithinPartitions("mask", "own")
-    edges = dealt.mapInArrow(_links, "u long, v long")
-    groups = connected_components(edges)
-    named = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(_named(fps, base), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id isn't the least of its near-duplicate component; rows without a doc_id stay."""
-    dropped = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose doc_id isn't the least of the near-duplicate component that their text is in.
+
+    Each row is judged by its own text: of rows that share a doc_id but not
+    their text, one may go and the other stay.  Rows that repeat the
+    representative's doc_id in its component stay, as they are the same
+    document; rows without a doc_id stay.  Null and empty texts are alike, so
+    one document of them stays.  An empty table stays empty; other columns are
+    kept whatever they are called.  Texts aren't shuffled: they are written
+    once with their fingerprints in a table bucketed by block, and only the
+    places of the rows that go are sent to the blocks.
+    """
+    base, names = shared_dir(docs.sparkSession), docs.columns
+    plain = neutral(docs, ("doc_id", "text"))
+    own = ["__fp__", bk.BLOCK, "__place__"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = bk.Dealer()
+        for batch in tk.small_batches(batches):
+            texts = tk.as_bytes(batch.column("text"))
+            fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+            blocks, places = dealer.deal([len(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64)), pa.array(blocks, pa.int64()), pa.array(places, pa.int32())], [*batch.schema.names, *own])
+
+    schema = StructType([*plain.schema.fields, *(StructField(n, t) for n, t in zip(own, (LongType(), LongType(), IntegerType())))])
+    table = bk.write_blocks(plain.mapInArrow(run, schema), partitions(docs, bk.BLOCK_BYTES), base)
+    slim = table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp__").alias("fp"), bk.BLOCK, "__place__")
+    dropped = slim.join(_named(slim.select("doc_id", "fp"), base), "fp").where("doc_id <> component_id")
+    marks = dropped.groupBy(bk.BLOCK).agg(F.collect_list("__place__").alias("__gone__"))  # at most the rows of a block
+    joined = table.join(marks.hint("shuffle_hash"), bk.BLOCK, "left").where(~F.coalesce(F.array_contains("__gone__", F.col("__place__")), F.lit(False)))
+    return joined.select(*plain.columns).toDF(*names)

@@ -440,3 +440,43 @@ def test_escapes_are_reversible():
         assert chattree.unescape(e) == s and not any(c in e for c in chattree.CONTROLS)
         for role in ("user", "assistant", "x[/ROLE]", ""):
             assert chattree.parse_turn(chattree.format_turn(role, s)[0]) == (role, s)
+
+
+def test_chat_turns_that_read_alike_are_not_one(spark):
+    rows = [(1, 0, "assistant\nx", "y"), (2, 0, "assistant", "x\ny"), (3, 0, "a", "b1,2"), (3, 1, "", "x"), (4, 0, "a", "b"), (4, 1, "1,2", "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = {r.conv_id: r for r in chattree.round_trip(frame).collect()}
+    assert (got[2].loss_chars, got[2].formatted_chars) == (3, 7) and got[1].loss_chars == 0
+    for c in (1, 2, 3, 4):
+        own = "".join(f"{role}\n{text}\n" for i, _, role, text in rows if i == c)
+        assert got[c].turns_sha256 == hashlib.sha256(own.encode()).hexdigest()
+
+
+def test_representatives_are_judged_by_their_own_text(spark):
+    a, b = "one two three four five six", "other words that nothing else has at all"
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (1, a, 4), (None, a, 5), (7, None, 6), (8, "", 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __block__ int").withColumns({"__fp__": F.lit("x"), "__place__": F.lit(0), "__gone__": F.lit(None).cast("int")})
+    out = simhash.keep_representatives(frame)
+    assert out.columns == frame.columns and sorted(r["__block__"] for r in out.collect()) == [1, 3, 4, 5, 6]
+    assert simhash.keep_representatives(frame.limit(0)).count() == 0
+
+
+def test_large_buckets_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TASK_BUCKET", 5)
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(6)]
+    fps = sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(30)})
+    frame = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)], "doc_id long, fp long")
+    got = {r.fp % (1 << 64): r.component_id for r in simhash._named(frame, simhash.shared_dir(spark)).collect()}
+    assert [got[f] for f in fps] == brute_components(fps)
+
+
+def test_any_full_window_contaminates(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    long = " ".join(["plain"] * 2000)
+    rows = [(1, f"{long} {item} {long}"), (2, long), (3, " ".join(item.split()[:12])), (4, f"{long} short"), (5, f"{item} {long} {item}"), (None, item), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__hit_words__": F.lit(1), "__met_items__": F.lit("m"), "__full_window__": F.lit("f")})
+    benchmark = spark.createDataFrame([(1, item), (2, "short")], "item_id long, text string")
+    kept = lambda **k: sorted(r.doc_id or 0 for r in decontaminate.contamination(docs, benchmark, keep_rows=True, **k).collect())
+    assert kept() == [1, 2, 3, 4, 5, 6] and kept(any_window=True) == [2, 3, 4, 6]
+    assert decontaminate.contamination(docs, benchmark, keep_rows=True).dtypes == docs.dtypes
