@@ -1,19 +1,20 @@
-"""Geometry functions on WKB columns, run in the JVM by a small jar that is built once against Spark's own JTS."""
+"""Geometry functions on WKB columns, run in the JVM by a small jar that is built against Spark's own JTS."""
 
 from __future__ import annotations
 
-import hashlib
+import atexit
 import os
+import shutil
 import subprocess
 import tempfile
+import uuid
+import zipfile
+from importlib import resources
 from pathlib import Path
 
-import pyspark
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_SOURCE = Path(__file__).with_name("java") / "Geo.java"
-
 #: SQL name -> (class, result type).
 FUNCTIONS = {
     "geo_point": ("Point_", "binary"),
@@ -42,27 +43,53 @@ FUNCTIONS = {
 }
 
 
-def build_jar() -> str:
-    """The jar's path on the driver; compiled on first use, named by the hash of its source."""
-    source = _SOURCE.read_bytes()
-    name = f"osmlake-geo-{hashlib.sha256(source + pyspark.__version__.encode()).hexdigest()[:16]}.jar"
-    target = Path(tempfile.gettempdir()).resolve() / name
-    if not target.exists():
-        jars = Path(pyspark.__file__).parent / "jars"
-        with tempfile.TemporaryDirectory() as work:
-            subprocess.run(["javac", "-nowarn", "-cp", f"{jars}/*", "-d", work, str(_SOURCE)], check=True, capture_output=True)
-            subprocess.run(["jar", "cf", f"{work}/{name}", "-C", work, "osmlake"], check=True, capture_output=True)
-            part = target.with_suffix(f".{os.getpid()}")
-            part.write_bytes(Path(work, name).read_bytes())
-            part.rename(target)
-    return str(target)
+#: The jar that this process has built, by nothing else than its source.
+_BUILT: dict[str, str] = {}
+#: Classes whose jars the source is compiled against.
+_NEEDED = ("org.locationtech.jts.geom.Geometry", "org.apache.spark.sql.api.java.UDF1", "scala.collection.Seq")
+
+
+def class_path(spark: SparkSession) -> str:
+    """The jars that the driver's own JVM runs with, wherever Spark was started from."""
+    lang = spark._jvm.java.lang
+    loader = lang.Thread.currentThread().getContextClassLoader()
+    own = [lang.Class.forName(c, False, loader).getProtectionDomain().getCodeSource().getLocation().getPath() for c in _NEEDED]
+    return os.pathsep.join(dict.fromkeys(own + lang.System.getProperty("java.class.path").split(os.pathsep)))
+
+
+def build_jar(spark: SparkSession) -> str:
+    """The jar's path on the driver: compiled once in a process, in a private folder that goes with it.
+
+    The compiler is that of the driver's Java, or the one on the path; executors need none.
+    """
+    if "jar" not in _BUILT:
+        work = str(Path(tempfile.mkdtemp(prefix="osmlake-geo-")).resolve())
+        atexit.register(shutil.rmtree, work, ignore_errors=True)
+        own = Path(spark._jvm.java.lang.System.getProperty("java.home"), "bin", "javac")
+        command = [str(own) if own.exists() else "javac", "-nowarn", "-proc:none", "-cp", class_path(spark), "-d", f"{work}/classes", str(_source(work))]
+        done = subprocess.run(command, capture_output=True, text=True)
+        if done.returncode:
+            raise RuntimeError(f"the geometry functions could not be compiled:\n{done.stderr or done.stdout}")
+        target = f"{work}/osmlake-geo-{uuid.uuid4().hex}.jar"
+        with zipfile.ZipFile(target, "w") as jar:
+            for f in sorted(Path(work, "classes").rglob("*.class")):
+                jar.write(f, f.relative_to(f"{work}/classes"))
+        _BUILT["jar"] = target
+    return _BUILT["jar"]
+
+
+def _source(work: str) -> Path:
+    """The source as a file, also where this package itself is read from an archive."""
+    target = Path(work, "Geo.java")
+    target.write_bytes(resources.files("osmlake.functions").joinpath("java/Geo.java").read_bytes())
+    return target
 
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to a session; Spark ships the jar to the executors.  Repeated calls do nothing."""
     if spark.catalog.functionExists("geo_union"):
         return
-    spark.sql(f"ADD JAR '{build_jar()}'")
+    spark.sql(f"ADD JAR '{build_jar(spark)}'")
     for name, (cls, kind) in FUNCTIONS.items():
         spark.udf.registerJavaFunction(name, f"osmlake.Geo${cls}", kind)
 
