@@ -1,69 +1,41 @@
-"""Storage settings and table names."""
+"""Storage settings of tables."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
 class TableConfig:
-    """How a table is laid out: buckets of ids, rows sorted by id in each file, bloom filters on the id."""
+    """How a table is laid out: files by ranges of the key, rows sorted in each, bloom filters on the key.
 
-    buckets: int = 64
+    ``files``: of a whole table; by its size unless given.
+    """
+
+    files: int | None = None
     bloom_filter: bool = True
     bloom_filter_bytes: int | None = 1 << 20
     compression: str = "snappy"
     sorted_files: bool = True
 
-    @classmethod
-    def testing(cls) -> TableConfig:
-        return cls(buckets=4, bloom_filter_bytes=128 << 10)
-
-    @classmethod
-    def nodes_production(cls) -> TableConfig:
-        """About 10 billion rows, many point look-ups."""
-        return cls(buckets=2000, bloom_filter_bytes=8 << 20)
-
-    @classmethod
-    def ways_production(cls) -> TableConfig:
-        return cls(buckets=500, bloom_filter_bytes=1 << 20)
-
-    @classmethod
-    def relations_production(cls) -> TableConfig:
-        """Few rows, wide files."""
-        return cls(buckets=20, bloom_filter_bytes=256 << 10)
-
-    @classmethod
-    def production(cls) -> TableConfig:
-        return cls.ways_production()
-
     def writer_options(self, key: str) -> dict[str, str]:
-        options = {"compression": self.compression}
-        if self.bloom_filter:
-            options[f"parquet.bloom.filter.enabled#{key}"] = "true"
-            if self.bloom_filter_bytes:
-                options["parquet.bloom.filter.max.bytes"] = str(self.bloom_filter_bytes)
-        return options
-
-
-@dataclass(frozen=True)
-class DatabaseNames:
-    """The names of the eight tables of one database."""
-
-    catalog: str
-    db_name: str
-
-    def _name(self, table: str) -> str:
-        return f"{self.catalog}.{self.db_name}.{table}"
-
-    nodes = property(lambda self: self._name("nodes"))
-    ways = property(lambda self: self._name("ways"))
-    relations = property(lambda self: self._name("relations"))
-    node_to_ways = property(lambda self: self._name("node_to_ways"))
-    way_to_relations = property(lambda self: self._name("way_to_relations"))
-    node_to_relations = property(lambda self: self._name("node_to_relations"))
-    relation_to_relations = property(lambda self: self._name("relation_to_relations"))
-    osc_archive = property(lambda self: self._name("osc_archive"))
-
-    def typed(self, kind: str) -> str:
-        return self._name(f"{kind}s")
+        """Options of the Parquet writer."""
+        blooms = {f"parquet.bloom.filter.enabled#{key}": "true"} if self.bloom_filter else {}
+        if blooms and self.bloom_filter_bytes:
+            blooms["parquet.bloom.filter.max.bytes"] = str(self.bloom_filter_bytes)
+        return {"compression": self.compression, **blooms}
+
+
+#: Files and bytes of bloom filter in a file, for small tests and for a planet's tables.
+PRESETS = {
+    "testing": (4, 131_072),
+    "nodes": (2000, 8_388_608),
+    "ways": (500, 1_048_576),
+    "relations": (20, 262_144),
+}
+
+
+def preset(name: str, **changes) -> TableConfig:
+    """The settings of that name in ``PRESETS``; ``changes``: fields to set otherwise."""
+    files, blooms = PRESETS[name]
+    return replace(TableConfig(files=files, bloom_filter_bytes=blooms), **changes)

@@ -12,7 +12,7 @@ from osmlake.operators.changes import carry_changesets
 _META = ["version", "timestamp", "uid", "user", "changeset", "tags"]
 
 
-def _widened(base: DataFrame, direct: DataFrame, ids: DataFrame, own: str) -> DataFrame:
+def widened(base: DataFrame, direct: DataFrame, ids: DataFrame, own: str) -> DataFrame:
     """Direct changes, with the history stored for them, and stored rows of the other ids."""
     columns = ["id", *_META, own, "additional_changesets"]
     stored = base.join(ids.union(direct.select("id")).distinct(), "id", "left_semi").select(*columns)
@@ -27,7 +27,7 @@ def dirty_way_ids(moved_nodes: DataFrame, node_to_ways: DataFrame) -> DataFrame:
 
 def dirty_ways(base_ways: DataFrame, way_upserts: DataFrame, moved_nodes: DataFrame, node_to_ways: DataFrame) -> DataFrame:
     """Changed ways, and stored ways one of whose nodes moved."""
-    return _widened(base_ways, way_upserts, dirty_way_ids(moved_nodes, node_to_ways), "refs")
+    return widened(base_ways, way_upserts, dirty_way_ids(moved_nodes, node_to_ways), "refs")
 
 
 def dirty_relation_ids(
@@ -62,4 +62,4 @@ def dirty_relations(
 ) -> DataFrame:
     """Changed relations, and stored relations that depend on something changed."""
     ids = dirty_relation_ids(relation_upserts, dirty_way_rows, way_to_relations, moved_nodes, node_to_relations, relation_to_relations, max_depth)
-    return _widened(base_relations, relation_upserts, ids, "members")
+    return widened(base_relations, relation_upserts, ids, "members")

@@ -6,6 +6,8 @@ relations; what the families need is gathered by conditional aggregation.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,28 @@ GEOMETRY_TYPES = POLYGON_TYPES + LINE_TYPES + COLLECTION_TYPES
 OUTER_ROLES = ("outer", "outline", "part", "")
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Choices in how relations are built, where the plain rule loses something.
+
+    ``require_closed``: rings count only if the union of their ways is closed
+    part by part, so rings of several open ways fall through.
+    ``polygon_parents_only``: sub-relations count for polygon parents only;
+    else a parent of any type gets the polygons of its children, and where it
+    has a shape of its own family as well, that of the polygons.
+    ``member_timestamps``: ``latest_ts`` covers direct members, not the
+    relation alone.
+    """
+
+    require_closed: bool = False
+    polygon_parents_only: bool = True
+    member_timestamps: bool = True
+
+
+#: The plain rules: only closed unions, children for parents of any type, own timestamps.
+PLAIN = Rules(require_closed=True, polygon_parents_only=False, member_timestamps=False)
+
+
 def need_geometry(relations: DataFrame) -> DataFrame:
     """Relations of the seven types that get a geometry of their own."""
     return relations.where(F.col("tags")["type"].isin(*GEOMETRY_TYPES))
@@ -50,7 +74,9 @@ def _area(rings: str, require_closed: bool) -> Column:
     return F.when(geo("is_closed", union), usable) if require_closed else usable
 
 
-def build_relation_geometry(relations: DataFrame, ways: DataFrame, nodes: DataFrame | None = None, children: DataFrame | None = None, require_closed: bool = False) -> DataFrame:
+def build_relation_geometry(
+    relations: DataFrame, ways: DataFrame, nodes: DataFrame | None = None, children: DataFrame | None = None, require_closed: bool = False, polygon_parents_only: bool = True
+) -> DataFrame:
     """(id, geom) for relations of the three families.
 
     Polygons: outer area less inner area; only inner rings give the inner
@@ -59,6 +85,8 @@ def build_relation_geometry(relations: DataFrame, ways: DataFrame, nodes: DataFr
     the union of member ways, whatever their roles.  Collections: ways and
     nodes collected.  ``require_closed``: rings count only if their union is
     closed, so rings of several open ways fall through.
+    ``polygon_parents_only=False``: parents of any type, also those of no
+    family, take the polygons of their children.
     """
     batch = need_geometry(relations)
     parts = members(batch)
@@ -83,9 +111,10 @@ def build_relation_geometry(relations: DataFrame, ways: DataFrame, nodes: DataFr
     if children is not None:
         stored = _shapes(children).join(batch.select(F.col("id").alias("ref")), "ref", "left_anti")
         polygons = polygons.unionByName(stored)
-    nested = parts.where("member_type = 'relation'").where(kind.isin(*POLYGON_TYPES)).select("relation_id", "ref").distinct().join(polygons, "ref")
+    parents = parts.where(kind.isin(*POLYGON_TYPES)) if polygon_parents_only else members(relations)
+    nested = parents.where("member_type = 'relation'").select("relation_id", "ref").distinct().join(polygons, "ref")
     nested = nested.groupBy("relation_id").agg(geo("union", F.collect_list("geom")).alias("sub"))
-    out = batch.select(F.col("id").alias("relation_id")).join(own, "relation_id", "left").join(nested, "relation_id", "left")
+    out = (batch if polygon_parents_only else relations).select(F.col("id").alias("relation_id")).join(own, "relation_id", "left").join(nested, "relation_id", "left")
     site = F.col("site_ways")
     if nodes is not None:
         points = parts.where((F.col("member_type") == "node") & kind.isin(*COLLECTION_TYPES)).select("relation_id", "ref").distinct().join(_shapes(nodes), "ref")

@@ -9,7 +9,6 @@ the same sets.
 from __future__ import annotations
 
 import logging
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +19,12 @@ from osmlake.operators import dirty, edges
 from osmlake.operators.finalize import finalize
 from osmlake.operators.merge import merged
 from osmlake.operators.nodes import build_node_geometry
+from osmlake.operators.relations import POLYGON_TYPES
 from osmlake.operators.ways import build_way_lines, promote_areas
 from osmlake.plans.database import APPLIED, ARCHIVE, ARCHIVED, CURRENT, TYPED, Database
 from osmlake.plans.initial_load import build_relations
 from osmlake.sources.changes import read_changes, sequence_of
+from osmlake.sources.files import Files
 from osmlake.sources.replication import Server, next_change_file
 
 log = logging.getLogger(__name__)
@@ -83,51 +84,60 @@ def apply_records(db: Database, records: DataFrame, name: str, sequence: int | N
     stamp = {} if sequence is None else {APPLIED: sequence}
 
     node_rows = ch.upserts(latest, "node")
-    old_nodes = db.read("nodes").join(node_rows.select("id"), "id", "left_semi")
+    old_nodes = db.lookup("nodes", node_rows.select("id"))
     moved = staging.keep("moved_nodes", ch.classify_nodes(node_rows, old_nodes).where("moved").select("id"))
     if not done["node"]:
         carried = ch.carry_changesets(node_rows, old_nodes)
         new = staging.keep("nodes", finalize(build_node_geometry(carried), "node"))
         db.store.merge("nodes", new, ch.deletes(latest, "node"), **stamp)
 
-    rows = staging.keep("dirty_ways", dirty.dirty_ways(db.read("ways"), ch.upserts(latest, "way"), moved, db.read("node_to_ways")))
+    ways_of_moved = staging.keep("ways_of_moved", db.lookup("node_to_ways", moved))
+    way_rows = ch.upserts(latest, "way")
+    concerned = dirty.dirty_way_ids(moved, ways_of_moved).union(way_rows.select("id"))
+    rows = staging.keep("dirty_ways", dirty.dirty_ways(db.lookup("ways", concerned), way_rows, moved, ways_of_moved))
     gone = ch.deletes(latest, "way")
     if not done["way"]:
-        needed = rows.select(F.explode("refs").alias("id")).distinct()
-        lines = build_way_lines(rows, db.read("nodes").join(needed, "id", "left_semi"))
+        lines = build_way_lines(rows, db.lookup("nodes", rows.select(F.explode("refs").alias("id"))))
         new = staging.keep("ways", finalize(promote_areas(lines), "way"))
-        touched = rows.select("id").union(gone)
-        after = db.read("ways")
-        _refresh(db, "node_to_ways", touched, after, new, gone)
+        _refresh(db, "node_to_ways", rows.select("id").union(gone), "ways", new, gone)
         db.store.merge("ways", new, gone, **stamp)
 
     gone = ch.deletes(latest, "relation")
     if not done["relation"]:
-        stored = db.read("relations")
-        rows = staging.keep(
-            "dirty_relations",
-            dirty.dirty_relations(stored, ch.upserts(latest, "relation"), rows, db.read("way_to_relations"), moved, db.read("node_to_relations"), db.read("relation_to_relations"), max_depth),
-        )
-        children = stored.join(rows.select("id"), "id", "left_anti").where(F.col("tags")["type"].isin("multipolygon", "boundary", "building", "bridge"))
+        changed = ch.upserts(latest, "relation")
+        near = staging.keep("dirty_relation_ids", _dirty_relation_ids(db, changed, rows, moved, max_depth))
+        stored = db.lookup("relations", near.union(changed.select("id")))
+        rows = staging.keep("dirty_relations", dirty.widened(stored, changed, near, "members"))
+        used = rows.select(F.explode("members").alias("m"))
+        of = lambda kind: used.where(F.col("m.type") == kind).select(F.col("m.ref").alias("id"))
+        children = db.lookup("relations", of("relation")).join(rows.select("id"), "id", "left_anti").where(F.col("tags")["type"].isin(*POLYGON_TYPES))
         children = children.select("id", F.col("geometry").alias("geom"))
-        used = rows.select(F.explode("members").alias("m")).where("m.type = 'relation'").select(F.col("m.ref").alias("id")).distinct()
-        new = staging.keep("relations", build_relations(rows, db.with_geom("way"), db.with_geom("node"), children.join(used, "id", "left_semi")))
+        new = staging.keep("relations", build_relations(rows, db.with_geom("way", of("way")), db.with_geom("node", of("node")), children, db.rules))
         touched = rows.select("id").union(gone)
         for edge in ("way_to_relations", "node_to_relations", "relation_to_relations"):
-            _refresh(db, edge, touched, stored, new, gone)
+            _refresh(db, edge, touched, "relations", new, gone)
         db.store.merge("relations", new, gone, **stamp)
     staging.clear()
 
 
-def _refresh(db: Database, name: str, touched: DataFrame, stored: DataFrame, new: DataFrame, gone: DataFrame) -> None:
+def _dirty_relation_ids(db: Database, changed: DataFrame, ways: DataFrame, moved: DataFrame, max_depth: int) -> DataFrame:
+    """Ids of relations that depend on something changed, by look-ups in the edge tables, a level of parents at a time."""
+    found = dirty.dirty_relation_ids(changed, ways, db.lookup("way_to_relations", ways.select("id")), moved, db.lookup("node_to_relations", moved))
+    level = changed.select("id")
+    for _ in range(max_depth):
+        level = db.lookup("relation_to_relations", level).select(F.col("parent_relation_id").alias("id")).distinct()
+        found = found.union(level)
+    return found.distinct()
+
+
+def _refresh(db: Database, name: str, touched: DataFrame, parents: str, new: DataFrame, gone: DataFrame) -> None:
     """Edges of touched parents as they will be after the merge; doing it twice leaves them as once.
 
     It comes before the merge: stamped parents always have their edges.
     """
     derive, _, _ = edges.DERIVED[name]
-    ids = touched.select("id").distinct()
-    after = merged(stored.join(ids, "id", "left_semi"), new, gone)
-    db.store.replace_edges(name, ids, derive(after))
+    after = merged(db.lookup(parents, touched), new, gone)
+    db.store.replace_edges(name, touched, derive(after))
 
 
 def apply_change_file(db: Database, path: str, allow_gaps: bool = False, max_depth: int = 1) -> None:
@@ -138,14 +148,15 @@ def apply_change_file(db: Database, path: str, allow_gaps: bool = False, max_dep
 def apply_next(db: Database, server: Server, folder: str, keep_file: bool = True) -> str | None:
     """Fetch and apply the next pending file; its path, or None when up to date.
 
-    ``keep_file=False`` removes the fetched file once it is applied.
+    ``folder``: where fetched files go, on a file system that the executors
+    share.  ``keep_file=False`` removes the file once it is applied.
     """
     applied = db.min_applied()
     path = next_change_file(server, folder, applied, db.max_timestamp() if applied is None else None)
     if path is not None:
         apply_change_file(db, path)
         if not keep_file:
-            Path(path).unlink()
+            Files(db.spark).remove(path)
     return path
 
 

@@ -10,26 +10,35 @@ from pyspark.sql import functions as F
 from osmlake import schemas
 from osmlake.config import TableConfig
 from osmlake.operators import edges
+from osmlake.operators.relations import Rules
 from osmlake.sources.store import SnapshotStore
 
 APPLIED, ARCHIVED, CURRENT, AT = "last_applied_sequence", "last_archived_sequence", "current_osc_file", "applied_sequences"
 TYPED = {"node": "nodes", "way": "ways", "relation": "relations"}
 ARCHIVE = "osc_archive"
+#: All tables of a database.
+TABLES = (*TYPED.values(), *schemas.EDGES, ARCHIVE)
+
+
+def qualified(*parents: str) -> dict[str, str]:
+    """Every table with its full name below a catalog and schema, or a schema alone."""
+    return {t: ".".join((*parents, t)) for t in TABLES}
 
 
 class Database:
-    """Typed tables, edge tables and the change archive below one root."""
+    """Typed tables, edge tables and the change archive below one root; ``rules``: how its relations are built."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, SnapshotStore(spark, root)
+    def __init__(self, spark: SparkSession, root: str, rules: Rules = Rules()):
+        self.spark, self.store, self.rules = spark, SnapshotStore(spark, root), rules
 
     def create_typed(self, kind: str, config: TableConfig | None = None) -> None:
         self.store.create(TYPED[kind], schemas.TYPED[kind], config)
 
     def create_edges(self, config: TableConfig | None = None, names: tuple[str, ...] = tuple(schemas.EDGES)) -> None:
-        """Edge tables, bucketed by parent: a refresh touches the buckets of its dirty parents only."""
+        """Edge tables, laid out by child, as they are looked up; a refresh replaces edges by parent."""
         for name in names:
-            self.store.create(name, schemas.EDGES[name], config, key=edges.DERIVED[name][1])
+            child, parent = (c.split()[0] for c in schemas.EDGES[name].split(", "))
+            self.store.create(name, schemas.EDGES[name], config, key=child, guard=parent)
 
     def create_archive(self, config: TableConfig | None = None) -> None:
         self.store.create(ARCHIVE, schemas.ARCHIVE, config, key=None, partition="sequence")
@@ -37,9 +46,14 @@ class Database:
     def read(self, table: str) -> DataFrame:
         return self.store.read(table)
 
-    def with_geom(self, kind: str) -> DataFrame:
-        """A typed table with its geometry as ``geom``, as the operators take it."""
-        return self.read(TYPED[kind]).withColumn("geom", F.col("geometry"))
+    def lookup(self, table: str, ids: DataFrame) -> DataFrame:
+        """The rows of some ids (edge tables: children), from the files that can hold them."""
+        return self.store.lookup(table, ids)
+
+    def with_geom(self, kind: str, ids: DataFrame | None = None) -> DataFrame:
+        """A typed table (or its rows of some ids) with its geometry as ``geom``, as the operators take it."""
+        rows = self.read(TYPED[kind]) if ids is None else self.lookup(TYPED[kind], ids)
+        return rows.withColumn("geom", F.col("geometry"))
 
     def populate(self, name: str) -> None:
         """An edge table anew from its parents."""
@@ -62,5 +76,12 @@ class Database:
         stamps = [self.stamp(t) for t in TYPED.values()]
         return None if None in stamps else min(stamps)
 
+    def maintain(self, keep: int = 1) -> None:
+        """Compact every table, then forget all but the newest ``keep`` snapshots and remove what they alone had."""
+        for table in TABLES:
+            if self.store.exists(table):
+                self.store.compact(table)
+                self.store.expire(table, keep)
+
     def has_rows(self, table: str) -> bool:
         return not self.read(table).isEmpty()

@@ -10,7 +10,7 @@ from osmlake.config import TableConfig
 from osmlake.functions.geometry import register
 from osmlake.operators.finalize import finalize
 from osmlake.operators.nodes import build_node_geometry, no_changesets
-from osmlake.operators.relations import build_relation_geometry, merge_relation_geometry
+from osmlake.operators.relations import Rules, build_relation_geometry, merge_relation_geometry
 from osmlake.operators.ways import build_way_lines, flatten_refs, promote_areas
 from osmlake.plans.database import ARCHIVE, TYPED, Database
 
@@ -34,11 +34,11 @@ def scoped(df: DataFrame, relations: DataFrame, kind: str) -> DataFrame:
     return df.join(refs, "id", "left_semi")
 
 
-def build_relations(relations: DataFrame, ways: DataFrame, nodes: DataFrame, children: DataFrame | None = None, require_closed: bool = False, member_timestamps: bool = True) -> DataFrame:
+def build_relations(relations: DataFrame, ways: DataFrame, nodes: DataFrame, children: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
     """Final rows of relations from members with ``geom``."""
     ways, nodes = scoped(ways, relations, "way"), scoped(nodes, relations, "node")
-    shapes = build_relation_geometry(relations, ways, nodes, children, require_closed)
-    return finalize(merge_relation_geometry(relations, shapes, ways, nodes, member_timestamps), "relation")
+    shapes = build_relation_geometry(relations, ways, nodes, children, rules.require_closed, rules.polygon_parents_only)
+    return finalize(merge_relation_geometry(relations, shapes, ways, nodes, rules.member_timestamps), "relation")
 
 
 def initialise(db: Database, extract: dict[str, DataFrame], configs: dict[str, TableConfig] | None = None, resume: bool = False, sequence: int | None = None) -> None:
@@ -64,7 +64,7 @@ def initialise(db: Database, extract: dict[str, DataFrame], configs: dict[str, T
         lines = build_way_lines(extract["way"], db.read("nodes"))
         db.store.append(TYPED["way"], finalize(promote_areas(lines), "way"), **stamp)
     if due(TYPED["relation"], lambda: db.create_typed("relation", config("relation"))):
-        db.store.append(TYPED["relation"], build_relations(extract["relation"], db.with_geom("way"), db.with_geom("node")), **stamp)
+        db.store.append(TYPED["relation"], build_relations(extract["relation"], db.with_geom("way"), db.with_geom("node"), rules=db.rules), **stamp)
     for name in schemas.EDGES:
         if due(name, lambda n=name: db.create_edges(config("edges"), (n,))):
             db.populate(name)

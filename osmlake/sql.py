@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from osmlake import schemas
 from osmlake.functions.geometry import register
-from osmlake.plans.database import ARCHIVE, TYPED, Database
+from osmlake.plans.database import TABLES, TYPED, Database
 
 
 def register_views(db: Database, prefix: str = "", version: dict[str, int] | None = None) -> list[str]:
@@ -14,7 +13,7 @@ def register_views(db: Database, prefix: str = "", version: dict[str, int] | Non
     """
     register(db.spark)
     names = []
-    for table in (*TYPED.values(), *schemas.EDGES, ARCHIVE):
+    for table in TABLES:
         if not db.store.exists(table):
             continue
         df = db.store.read(table, (version or {}).get(table))

@@ -1,6 +1,7 @@
 """Store, initial load, change files, resume, streaming and inspection, end to end on a tiny graph."""
 
 import gzip
+import io
 import json
 from datetime import datetime, timezone
 
@@ -8,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from osmlake import schemas
-from osmlake.config import DatabaseNames, TableConfig
+from osmlake.config import preset
 from osmlake.functions.geometry import geo, register
 from osmlake.plans import apply as ap
-from osmlake.plans.database import Database
+from osmlake.plans.database import Database, qualified
 from osmlake.plans.initial_load import initialise
 from osmlake.plans.inspect import sample_geojson, snapshot_diff
 from osmlake.sources.changes import read_changes, sequence_of
@@ -20,7 +21,7 @@ from osmlake.sources.store import SnapshotStore
 from osmlake.sql import register_views
 from osmlake.streaming import feed
 
-CONFIG = TableConfig.testing()
+CONFIG = preset("testing")
 CONFIGS = dict.fromkeys(("node", "way", "relation", "edges", "archive"), CONFIG)
 STAMP = 'timestamp="2024-01-0{d}T00:00:00Z" uid="3" user="a"'
 
@@ -195,6 +196,90 @@ def test_replication(server, tmp_path):
 
 
 def test_names_and_presets():
-    names = DatabaseNames("c", "d")
-    assert names.nodes == names.typed("node") == "c.d.nodes" and names.osc_archive == "c.d.osc_archive"
-    assert TableConfig.nodes_production().writer_options("id")["parquet.bloom.filter.max.bytes"] == str(8 << 20)
+    names = qualified("c", "d")
+    assert names["nodes"] == "c.d.nodes" and names["osc_archive"] == "c.d.osc_archive" and len(names) == 8
+    assert preset("nodes").writer_options("id")["parquet.bloom.filter.max.bytes"] == str(8 << 20) and preset("ways", files=7).files == 7
+    assert "parquet.bloom.filter.max.bytes" not in preset("ways", bloom_filter=False).writer_options("id")
+
+
+def test_merges_write_what_changes(spark, tmp_path, monkeypatch):
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    store.create("t", "id bigint, version bigint", preset("testing", files=8))
+    frame = lambda rows: spark.createDataFrame(rows, "id bigint, version bigint")
+    store.append("t", frame([(k, 1) for k in range(1000)]))
+    first = store.snapshot("t")
+    assert len(first["data"]) == 8 and all(e["hi"] - e["lo"] < 300 for e in first["data"])
+    ids = frame([(3, 0), (990, 0), (5000, 0)]).select("id")
+    assert len(store.touched("t", ids)) == 2 and sorted(r.id for r in store.lookup("t", ids).collect()) == [3, 990]
+    want = dict.fromkeys(range(1000), 1)
+    for n in range(2, 7):
+        store.merge("t", frame([(n, n), (900 + n, n), (2000, n), (2000 + n, 1), (3, 0)]), frame([(n + 20, 0)]).select("id"))
+        want |= {n: n, 900 + n: n, 2000: n, 2000 + n: 1}
+        del want[n + 20]
+    now = store.snapshot("t")
+    assert [e for e in now["data"] if e["seq"] == 1] == first["data"] and sum(e["rows"] for e in now["data"]) < 1030
+    assert dict(store.read("t").collect()) == want and dict(store.read("t", 1).collect()) == dict.fromkeys(range(1000), 1)
+    assert dict(store.lookup("t", frame([(22, 0), (904, 0), (2000, 0)]).select("id")).collect()) == {904: 4, 2000: 6}
+    store.compact("t")
+    after = store.snapshot("t")
+    assert not after["gone"] and dict(store.read("t").collect()) == want and dict(store.read("t", now["version"]).collect()) == want
+    assert {e["path"] for e in first["data"]} & {e["path"] for e in after["data"]}  # files that nothing touches stay
+    assert store.expire("t") > 0 and dict(store.read("t").collect()) == want and [h["operation"] for h in store.history("t")] == ["compact"]
+    monkeypatch.setattr("osmlake.sources.store.COMPACT_ROWS", 3)
+    monkeypatch.setattr("osmlake.sources.store.COMPACT_SHARE", 0)
+    store.merge("t", frame([(1, 9), (2, 9), (4, 9), (5, 9)]), ids)
+    assert [h["operation"] for h in store.history("t")][-1] == "compact" and dict(store.read("t").collect()) == {k: v for k, v in (want | {1: 9, 2: 9, 4: 9, 5: 9}).items() if k not in (3, 990)}
+
+
+def test_change_files_are_cut_anywhere(spark, tmp_path, monkeypatch):
+    from osmlake.sources import changes
+
+    rows = [(k, ("node", "way", "relation")[k % 3], ("create", "modify", "delete")[k // 3 % 3], k, f"2024-01-01T00:00:{k % 60:02}Z", None if k % 5 == 0 else k, 'u"<&>' if k % 2 else None, k * 10, {"k<": f"v>{k}\n"} if k % 4 else {}, None if k % 7 == 0 else k / 8, 1.5, [k, k + 1] if k % 3 == 1 else None, [("node", k, "ä")] if k % 3 == 2 else None) for k in range(1, 400)]
+    frame = spark.createDataFrame([(*r, r[4]) for r in rows], schemas.CHANGES)
+    changes.write_changes(frame, f"file://{tmp_path}/7.osc.gz")
+    changes.write_changes(frame.limit(0), f"file://{tmp_path}/8.osc")
+    text = gzip.decompress((tmp_path / "7.osc.gz").read_bytes())
+    want = sorted(map(str, frame.collect()))
+    assert sorted(map(str, read_changes(spark, f"file://{tmp_path}/7.osc.gz", f"file://{tmp_path}/8.osc").collect())) == want
+    for read, piece in ((17, 1), (100, 300), (1 << 20, 900)):
+        monkeypatch.setattr(changes, "READ", read)
+        monkeypatch.setattr(changes, "PIECE", piece)
+        found = [e["id"] for op, p in changes.pieces(io.BytesIO(text)) for e in changes.elements(op, p)]
+        assert sorted(found) == list(range(1, 400))
+    with pytest.raises(ValueError):
+        list(changes.pieces(io.BytesIO(text[: len(text) // 2])))
+
+
+def test_plain_rules_for_relations(spark, tmp_path):
+    from osmlake.operators.relations import PLAIN
+
+    rows = extract(spark)
+    own = (1, "2024-01-01 00:00:00", 10, 1, "u")
+    more = spark.createDataFrame([(5, *own, {}, [1, 2, 3]), (6, *own, {}, [3, 4, 1])], rows["way"].schema)
+    parents = spark.createDataFrame([(7, *own, {"type": "boundary"}, [("way", 5, ""), ("way", 6, "")]), (8, *own, {"type": "site"}, [("relation", 1, "")])], rows["relation"].schema)
+    rows |= {"way": rows["way"].union(more), "relation": rows["relation"].union(parents)}
+    found = {}
+    for name, rules in (("own", None), ("plain", PLAIN)):
+        db = Database(spark, f"file://{tmp_path}/{name}", *([rules] if rules else []))
+        initialise(db, rows, CONFIGS)
+        found[name] = {r.id: (r.t, r.a) for r in db.read("relations").select("id", geo("type", "geometry").alias("t"), geo("area", "geometry").alias("a")).collect()}
+    assert found["own"][7] == ("ST_Polygon", 1) and found["own"][8] == (None, None)
+    assert found["plain"][7][0].endswith("LineString") and found["plain"][8] == ("ST_Polygon", 1) and found["plain"][1] == found["own"][1]
+
+
+def test_outages_are_not_empty_servers(monkeypatch):
+    import urllib.error
+
+    from osmlake.sources.replication import HttpServer
+
+    def answer(code):
+        def get(self, path):
+            raise urllib.error.HTTPError(path, code, "", {}, None)
+
+        return get
+
+    monkeypatch.setattr(HttpServer, "_get", answer(404))
+    assert HttpServer("http://x").state(5) is None
+    monkeypatch.setattr(HttpServer, "_get", answer(503))
+    with pytest.raises(urllib.error.HTTPError):
+        HttpServer("http://x").state()
