@@ -22,6 +22,7 @@ FUNCTIONS = {
     "geo_make_polygon": ("MakePolygon", "binary"),
     "geo_union": ("Union", "binary"),
     "geo_build_area": ("BuildArea", "binary"),
+    "geo_ring_area": ("RingArea", "binary"),
     "geo_difference": ("Difference", "binary"),
     "geo_collect": ("Collect", "binary"),
     "geo_clean": ("Clean", "binary"),

@@ -66,14 +66,6 @@ def _shapes(df: DataFrame) -> DataFrame:
     return df.where(F.col("geom").isNotNull() & ~geo("is_empty", "geom")).select(F.col("id").alias("ref"), "geom")
 
 
-def _area(rings: str, require_closed: bool) -> Column:
-    """The area that a set of rings encloses; null if none."""
-    union = geo("union", F.col(rings))
-    area = geo("build_area", union)
-    usable = F.when(~geo("is_empty", area), area)
-    return F.when(geo("is_closed", union), usable) if require_closed else usable
-
-
 def build_relation_geometry(
     relations: DataFrame, ways: DataFrame, nodes: DataFrame | None = None, children: DataFrame | None = None, require_closed: bool = False, polygon_parents_only: bool = True
 ) -> DataFrame:
@@ -100,10 +92,9 @@ def build_relation_geometry(
         pick(kind.isin(*POLYGON_TYPES) & (F.col("role") == "inner")).alias("inner"),
         pick(~kind.isin(*POLYGON_TYPES)).alias("any"),
     )
-    areas = gathered.select("relation_id", "kind", "any", _area("outer", require_closed).alias("o"), _area("inner", require_closed).alias("i"))
-    own = areas.select(
+    own = gathered.select(
         "relation_id",
-        F.when(F.col("o").isNotNull() & F.col("i").isNotNull(), geo("difference", "o", "i")).otherwise(F.coalesce("o", "i")).alias("polygon"),
+        geo("ring_area", "outer", "inner", F.lit(require_closed)).alias("polygon"),
         F.when(kind.isin(*LINE_TYPES), geo("union", "any")).alias("line"),
         F.when(kind.isin(*COLLECTION_TYPES), geo("union", "any")).alias("site_ways"),
     )

@@ -6,14 +6,15 @@ compare alike in any engine.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gzip
 from collections.abc import Callable
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from osmlake.config import TableConfig
 from osmlake.functions import native
 from osmlake.functions.geometry import geo, register
 from osmlake.operators import changes as ch
@@ -24,13 +25,15 @@ from osmlake.operators.finalize import finalize, unique_by_id
 from osmlake.operators.merge import merged
 from osmlake.operators.nodes import build_node_geometry
 from osmlake.plans import inspect
-from osmlake.plans.apply import apply_records, archived
-from osmlake.plans.database import TYPED, Database
+from osmlake.plans.apply import apply_all, archived
+from osmlake.plans.database import TABLES, TYPED, Database
 from osmlake.plans.initial_load import build_relations, initialise
 from osmlake.schemas import KINDS
 from osmlake.sources import synthetic as syn
-from osmlake.sources.replication import pending_sequences
-from osmlake.streaming.feed import start_merges
+from osmlake.sources.changes import read_changes, write_changes
+from osmlake.sources.files import Files, workspace
+from osmlake.sources.replication import SharedServer, State, fetch_change_files, pending_sequences, state_text
+from osmlake.streaming.feed import start, start_merges
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,6 +148,12 @@ def way_closed(spark, sf):
     return _lines(spark, sf).where("geom is not null").groupBy(geo("is_closed", "geom").alias("closed")).agg(F.count("*").alias("n"))
 
 
+@query("select id, 'LINESTRING (' || string_agg(regexp_replace(cast(x as varchar), '\\.0$', '') || ' ' || regexp_replace(cast(y as varchar), '\\.0$', ''), ', ' order by pos) || ')' wkt from wp group by id having count(*) >= 2")
+def way_wkt(spark, sf):
+    """Every line as text, read back from its stored form."""
+    return _lines(spark, sf).where("geom is not null").select("id", geo("as_wkt", "geom").alias("wkt"))
+
+
 @query("select w.id, cast(len(refs) as bigint) n_refs, cast(count(pos) filter (node_id % 97 <> 0) as bigint) n_points, count(pos) filter (node_id % 97 <> 0) >= 2 built from w left join wr using (id) group by w.id, len(refs)")
 def way_unresolved_refs(spark, sf):
     register(spark)
@@ -235,13 +244,49 @@ def fallback_relations(spark, sf):
     return out.select("id", F.col("geom").isNotNull().alias("has_geometry"))
 
 
-@query("select m.id, cast(min(xmin) as float) xmin, cast(max(xmax) as float) xmax, cast(min(ymin) as float) ymin, cast(max(ymax) as float) ymax from m join wa on wa.id = m.ref and n_points >= 2 where mtype = 'way' and kind = 'route' group by m.id")
+@query()
 def relation_bbox(spark, sf):
-    """Boxes of all relations that have a geometry.  The SQL covers routes only: exact overlay isn't for SQL."""
+    """Boxes of all relations that have a geometry (exact overlay isn't for SQL)."""
     out = build_relations(syn.relations(spark, sf), _lines(spark, sf), build_node_geometry(syn.nodes(spark, sf)))
     return out.where("bbox is not null").select("id", "bbox.xmin", "bbox.xmax", "bbox.ymin", "bbox.ymax")
 
 
+#: SQL for a part of a query's rows: the boxes of routes are those of their ways.
+PART_SQL = {
+    "relation_bbox": f"with {syn.SQL} select m.id, cast(min(xmin) as float) xmin, cast(max(xmax) as float) xmax, cast(min(ymin) as float) ymin, cast(max(ymax) as float) ymax from m join wa on wa.id = m.ref and n_points >= 2 where mtype = 'way' and kind = 'route' group by m.id"
+}
+
+
+_SIDES = "4 + c_custkey % 5 as s, 1 + c_custkey % 3 as h, c_custkey % 300 as x, c_custkey % 150 - 75 as y"
+
+
+@query(f"""
+select c_custkey id, 'ST_Polygon' geometry_type, cast(s * s - h * h as bigint) area, 1 holes, 10 points, true valid, cast(x as float) xmin, cast(x + s as float) xmax, cast(y as float) ymin, cast(y + s as float) ymax
+from (select c_custkey, {_SIDES} from customer)""", graph=False)
+def multipolygon_area_grid(spark, sf):
+    """A square with a square hole for every customer, its outer ring one closed way or two open ones: shapes whose area has a closed form."""
+    register(spark)
+    squares = syn.table(spark, sf, "customer").selectExpr("c_custkey id", *(x.strip() for x in _SIDES.split(",")))
+    meta = [F.lit(1).cast("bigint").alias("version"), F.lit("2024-01-01 00:00:00").alias("timestamp"), F.lit(1).cast("bigint").alias("changeset"), F.lit(1).cast("bigint").alias("uid"), F.lit("u").alias("user")]
+    none = F.create_map().cast("map<string,string>").alias("tags")
+    corner = lambda k, size, at: (F.lit(k), F.col("x") + at + (size if k % 4 in (1, 2) else 0), F.col("y") + at + (size if k % 4 in (2, 3) else 0))
+    corners = [corner(k, F.col("s"), F.lit(0.0)) for k in range(4)] + [corner(k, F.col("h"), F.lit(0.5)) for k in range(4, 8)]
+    points = F.explode(F.array(*[F.struct(k.alias("k"), x.cast("double").alias("x"), y.cast("double").alias("y")) for k, x, y in corners]))
+    nodes = squares.select("id", points.alias("p")).select((F.col("id") * 10 + F.col("p.k")).alias("id"), *meta, none, F.col("p.y").alias("lat"), F.col("p.x").alias("lon"))
+    line = lambda way, *ks: F.struct(F.lit(way).alias("way"), F.array(*[F.col("id") * 10 + k for k in ks]).alias("refs"))
+    whole, halves = F.array(line(0, 0, 1, 2, 3, 0), line(2, 4, 5, 6, 7, 4)), F.array(line(0, 0, 1, 2), line(1, 2, 3, 0), line(2, 4, 5, 6, 7, 4))
+    drawn = squares.select("id", F.explode(F.when(F.col("id") % 2 == 0, whole).otherwise(halves)).alias("w"))
+    ways = drawn.select((F.col("id") * 10 + F.col("w.way")).alias("id"), *meta, none, "w.refs")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int"))
+    member = lambda way, role: F.struct(F.lit("way").alias("type"), (F.col("id") * 10 + way).alias("ref"), role.alias("role"))
+    outer = pick(rel.OUTER_ROLES)
+    relations = squares.select("id", *meta, F.create_map(F.lit("type"), pick(rel.POLYGON_TYPES)).alias("tags"), F.array(member(0, outer), member(1, outer), member(2, F.lit("inner"))).alias("members"))
+    points = build_node_geometry(nodes)
+    out = build_relations(relations, wy.promote_areas(wy.build_way_lines(ways, points)), points)
+    shape = [geo(n, "geometry").alias(a) for n, a in (("type", "geometry_type"), ("num_holes", "holes"), ("num_points", "points"), ("is_valid", "valid"))]
+    return out.select("id", *shape, F.round(geo("area", "geometry")).cast("bigint").alias("area"), "bbox.xmin", "bbox.xmax", "bbox.ymin", "bbox.ymax")
+
+
 _MEMBER_META = ", mm as (select m.id, w.changeset cs, greatest(w.ts, wa.nts) ts from m join wa on wa.id = m.ref and mtype = 'way' and n_points >= 2 join w on w.id = m.ref union all select m.id, n.changeset, n.ts from m join n on n.id = m.ref and mtype = 'node')"
 
 
@@ -344,14 +389,13 @@ def change_slices(spark, sf):
 
 
 def _workspace(spark: SparkSession) -> str:
-    """A fresh root for a query's own store, in the shared checkpoint folder where one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="osmlake-")
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    """A fresh root for a query's own store."""
+    return workspace(spark, "store")
 
 
-@query(f"{_LATEST} select seq as sequence, concat(seq, '.osc.gz') osc_file, count(*) n, cast(sum(changeset) as bigint) total from l where k = 1 and seq <= 5 group by all")
+@query(f"{_LATEST} select seq as sequence, concat(seq, '.osc.gz') osc_file, count(*) n, cast(sum(changeset) as bigint) total from l where k = 1 group by all")
 def change_archive_by_sequence(spark, sf):
-    """Every file of the feed archived, one of them twice: each is there once.  The SQL covers sequences 1 to 5 only."""
+    """Every file of the feed archived, one of them twice: each is there once."""
     db = Database(spark, _workspace(spark))
     db.create_archive()
     latest = _by_file(spark, sf).persist()
@@ -492,21 +536,48 @@ def sample_recent_by_type(spark, sf):
     return inspect.sample_rows(ways, "Polygon", 10).select("id", _text("timestamp").alias("ts"))
 
 
-_END = "select id, version, changeset from (select *, row_number() over (partition by id order by version desc) k from ch where type = 'node') where k = 1 and op <> 'delete'"
+_PARTS = "case when seq < 11 then 1 when seq <= 20 then 2 when seq <= 30 then 3 else 4 end"
+#: Nodes and relations: the last operation.  Ways: the last version, after any delete, of which two references resolve when its file is applied.
+_END = f"""
+, f as (select *, {_PARTS} part from ch),
+k as (select * exclude (rk) from (select *, row_number() over (partition by part, type, id order by version desc) rk from f) where rk = 1),
+nd as (select p.part, k.id from (select distinct part from k) p join k on k.type = 'node' and k.part <= p.part qualify row_number() over (partition by p.part, k.id order by k.version desc) = 1 and k.op <> 'delete'),
+wy as (select part, id, version, changeset, unnest([id, id + 1, id + 2, changeset % 100]) node_id from k where type = 'way' and op <> 'delete'),
+ok as (select wy.part, wy.id, wy.version, wy.changeset from wy join nd on nd.part = wy.part and nd.id = wy.node_id group by all having count(*) >= 2),
+dl as (select id, max(part) gone from k where type = 'way' and op = 'delete' group by id),
+lw as (select ok.id, version, changeset from ok left join dl using (id) where part > coalesce(gone, 0) qualify row_number() over (partition by ok.id order by part desc) = 1)
+select type, id, version, changeset from ch where type <> 'way' qualify row_number() over (partition by type, id order by version desc) = 1 and op <> 'delete'
+union all select 'way', id, version, changeset from lw"""
+
+
+def _feed(spark: SparkSession, sf: str) -> SharedServer:
+    """The whole feed as change files of about ten days on a server of its own, with their states."""
+    folder, rows = f"{_workspace(spark)}/feed", syn.changes(spark, sf).withColumn("part", F.expr(_PARTS.replace("seq", "sequence")))
+    for k in range(1, 5):
+        write_changes(rows.where(F.col("part") == k), f"{folder}/{k}.osc.gz")
+        Files(spark).write(f"{folder}/{k}.state.txt", [state_text(State(k, datetime(2024, 1, k, tzinfo=timezone.utc))).encode()])
+    return SharedServer(spark, folder)
+
+
+def _empty_database(spark: SparkSession, sf: str) -> Database:
+    db = Database(spark, _workspace(spark))
+    initialise(db, {"node": syn.nodes(spark, sf).limit(0), "way": syn.ways(spark, sf).limit(0), "relation": syn.relations(spark, sf).limit(0)}, sequence=0)
+    return db
 
 
 @query(_END)
 def apply_all_end_state(spark, sf):
-    """The whole feed applied to an empty database in files of about ten days: what the typed tables hold at the end.
+    """The whole feed, written as change files, fetched from a server and applied to an empty database: what the typed tables hold at the end."""
+    db = _empty_database(spark, sf)
+    apply_all(db, _feed(spark, sf), f"{_workspace(spark)}/fetched")
+    return _typed_rows(db, "id", "version", "changeset")
 
-    The SQL covers the nodes only.
-    """
-    db = Database(spark, _workspace(spark))
-    initialise(db, {"node": syn.nodes(spark, sf).limit(0), "way": syn.ways(spark, sf).limit(0), "relation": syn.relations(spark, sf).limit(0)})
-    rows = syn.changes(spark, sf)
-    slices = (F.col("sequence") < 11, F.col("sequence").between(11, 20), F.col("sequence").between(21, 30), F.col("sequence") > 30)
-    for k, chosen in enumerate(slices, 1):
-        apply_records(db, rows.where(chosen), f"{k}.osc.gz", k)
+
+@query(_END)
+def feed_stream_end_state(spark, sf):
+    """The same change files as a stream: one after another as they are found in a folder."""
+    db = _empty_database(spark, sf)
+    start(db, _feed(spark, sf).folder, f"{_workspace(spark)}/checkpoint").awaitTermination()
     return _typed_rows(db, "id", "version", "changeset")
 
 
@@ -514,9 +585,9 @@ def _typed_rows(db: Database, *columns: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [db.read(t).select(F.lit(k).alias("type"), *columns) for k, t in TYPED.items()])
 
 
-@query("select id, max(event_id) as version from (select user_id id, event_id, event_type, max(event_id) over (partition by user_id) last from events where event_id % 3 = 0) where event_id = last and event_type <> 'error' group by id", graph=False)
+@query("select case event_id % 3 when 0 then 'node' when 1 then 'way' else 'relation' end as type, user_id id, event_id as version from events qualify event_id = max(event_id) over (partition by user_id, event_id % 3) and event_type <> 'error'", graph=False)
 def stream_end_state(spark, sf):
-    """The feed as a stream into a table for each type, versions being event ids.  The SQL covers the nodes only."""
+    """The feed as a stream into a table for each type, versions being event ids."""
     db = Database(spark, _workspace(spark))
     path = f"{sf}/events.parquet"
     schema = spark.read.parquet(path).schema
@@ -529,6 +600,59 @@ def stream_end_state(spark, sf):
     return _typed_rows(db, "id", "version")
 
 
+@query("select type, op, count(*) n, cast(sum(version) as bigint) versions, cast(sum(changeset) as bigint) changesets, cast(sum(case type when 'way' then 4 else 0 end) as bigint) refs, cast(sum(case type when 'relation' then 1 else 0 end) as bigint) members, cast(sum(floor(lat * 100 + 0.5)) as bigint) lats, cast(sum(length(event_type)) as bigint) tags from ch group by all")
+def change_file_round_trip(spark, sf):
+    """The whole feed written as one change file and read back."""
+    path = f"{_workspace(spark)}/1.osc.gz"
+    write_changes(syn.changes(spark, sf), path)
+    size = lambda c: F.sum(F.coalesce(F.size(c), F.lit(0))).cast("bigint")
+    return read_changes(spark, path).groupBy("type", "op").agg(
+        F.count("*").alias("n"), F.sum("version").alias("versions"), F.sum("changeset").alias("changesets"), F.sum(F.when(F.col("refs").isNotNull(), F.size("refs")).otherwise(0)).cast("bigint").alias("refs"),
+        F.sum(F.when(F.col("members").isNotNull(), F.size("members")).otherwise(0)).cast("bigint").alias("members"), F.sum(F.floor(F.col("lat") * 100 + 0.5)).cast("bigint").alias("lats"), F.sum(F.length(F.col("tags")["event"])).cast("bigint").alias("tags"),
+    )
+
+
+@query("select cast(day(ts) as bigint) as sequence, count(*) n from events group by all", graph=False)
+def replication_fetch(spark, sf):
+    """A server with a file for each day of the feed: all that is pending after day 0 is fetched, then each file is read."""
+    folder, files = f"{_workspace(spark)}/server", Files(spark)
+    days = sorted(map(tuple, syn.changes(spark, sf).groupBy("sequence").count().collect()))
+    for day, n in days:
+        body = f'<osmChange><create><node id="{day}" version="1" timestamp="2024-01-01T00:00:00Z" changeset="{n}"/></create></osmChange>'
+        files.write(f"{folder}/{day}.osc.gz", [gzip.compress(body.encode())])
+        files.write(f"{folder}/{day}.state.txt", [state_text(State(day, datetime(2024, 1, day, tzinfo=timezone.utc))).encode()])
+    paths = fetch_change_files(SharedServer(spark, folder), f"{_workspace(spark)}/fetched", last_applied=0)
+    return read_changes(spark, *paths).select(F.col("id").alias("sequence"), F.col("changeset").alias("n"))
+
+
+@query("""select 'nodes' as tbl, count(*) n from n union all select 'ways', count(*) from wa where n_points >= 2 union all select 'relations', count(*) from r
+union all select 'node_to_ways', count(*) from wr where id in (select id from wa where n_points >= 2) union all select 'way_to_relations', count(*) from m where mtype = 'way' and kind <> 'restriction'
+union all select 'node_to_relations', count(*) from m where mtype = 'node' union all select 'relation_to_relations', count(*) from m where mtype = 'relation' union all select 'osc_archive', 0""")
+def initial_load_counts(spark, sf):
+    """All tables loaded from the whole graph, in two runs: the first without its last edge tables, the second resuming it."""
+    db, extract = Database(spark, _workspace(spark)), {"node": syn.nodes(spark, sf), "way": syn.ways(spark, sf), "relation": syn.relations(spark, sf)}
+    initialise(db, extract, sequence=7)
+    for lost in ("node_to_relations", "relation_to_relations"):
+        db.store.drop(lost)
+    initialise(db, extract, resume=True)
+    return reduce(DataFrame.unionAll, [db.read(t).agg(F.lit(t).alias("tbl"), F.count("*").alias("n")) for t in TABLES])
+
+
+@query("select count(*) n, cast(sum(version) as bigint) versions, cast(count(*) filter (id % 1000 = 0) as bigint) written, cast(count(*) filter (id % 1000 in (0, 1)) as bigint) gone, 0 rewritten from (select id, case when id % 1000 = 0 then version + 1 else version end as version from n)")
+def merge_writes_the_change(spark, sf):
+    """A merge of every thousandth node, and deletes of ids that aren't there: the rows it writes, and the older files it rewrites."""
+    db = Database(spark, _workspace(spark))
+    db.store.create("nodes", "id bigint, version bigint", TableConfig(files=16))
+    rows = syn.nodes(spark, sf).select("id", "version")
+    db.store.append("nodes", rows)
+    before = {e["path"] for e in db.store.snapshot("nodes")["data"]}
+    changed = rows.where("id % 1000 = 0").withColumn("version", F.col("version") + 1)
+    db.store.merge("nodes", changed, rows.where("id % 1000 = 1").select((-F.col("id")).alias("id")))
+    after = db.store.snapshot("nodes")
+    counts = [F.lit(sum(e["rows"] for e in after[k] if e["path"] not in before)).cast("bigint").alias(a) for k, a in (("data", "written"), ("gone", "gone"))]
+    return db.read("nodes").agg(F.count("*").alias("n"), F.sum("version").alias("versions")).select("n", "versions", *counts, F.lit(len(before - {e["path"] for e in after["data"]})).alias("rewritten"))
+
+
 @query("select id, case when id % 10 = 0 then 'deleted' else 'modified' end change from n where id % 10 = 0 or id % 10 = 1")
 def snapshot_diff(spark, sf):
     """Two snapshots of a store: every tenth node deleted, the next one modified."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable
@@ -17,6 +19,7 @@ class Files:
 
     def __init__(self, spark: SparkSession):
         self._path, self._conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+        self._copy = spark._jvm.org.apache.commons.io.IOUtils.toByteArray
 
     def _at(self, path: str):
         target = self._path(path)
@@ -34,6 +37,14 @@ class Files:
         store, target = self._at(folder)
         return sorted(s.getPath().getName() for s in store.listStatus(target)) if store.exists(target) else []
 
+    def read(self, path: str) -> bytes:
+        store, target = self._at(path)
+        stream = store.open(target)
+        try:
+            return bytes(self._copy(stream))
+        finally:
+            stream.close()
+
     def write(self, path: str, blocks: Iterable[bytes]) -> None:
         """A whole file or none: it is written under another name and then renamed."""
         store, target = self._at(path)
@@ -65,3 +76,13 @@ def write_stream(spark: SparkSession, path: str, blocks: Iterable[bytes], compre
         yield b"".join(held) + (coder.flush() if coder else b"")
 
     Files(spark).write(path, gathered())
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, which a cluster must name; one process without it gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="osmlake-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,6 +40,8 @@ SEQ, GONE_AT = "_seq", "_gone_at"
 BROADCAST_ROWS = 4_000_000
 #: A table is compacted when its merges hold this share of its rows, at least so many, or when there are so many of them.
 COMPACT_SHARE, COMPACT_ROWS, COMPACT_COMMITS = 0.1, 200_000, 24
+#: So few files are all opened by a look-up, without asking first which of them can hold its keys.
+FEW_FILES = 6
 
 
 class SnapshotStore:
@@ -160,7 +162,7 @@ class SnapshotStore:
         return self._touched(self.snapshot(table, version)["data"], ids)
 
     def _touched(self, entries: list[dict], ids: DataFrame) -> list[dict]:
-        if len(entries) <= 1:
+        if len(entries) <= FEW_FILES:
             return entries
         low, high = (np.array([e[k] for e in entries], np.int64) for k in ("lo", "hi"))
 
@@ -186,28 +188,42 @@ class SnapshotStore:
 
     # -- writing
 
-    def _write(self, table: str, meta: dict, df: DataFrame, parts: int | None = None, deal: bool = True) -> list[dict]:
-        """Write rows, distributed by range and sorted by key; what is known of each file.
+    def _rows(self, meta: dict, df: DataFrame) -> tuple[DataFrame, str]:
+        """Rows in the table's types (or those of its columns that there are), and the column that they are sorted by."""
+        schema = StructType([f for f in self._schema(meta).fields if f.name in df.columns])
+        rows = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
+        return rows, meta["key"] if meta["key"] in schema.names else schema.names[0]
+
+    def _write(self, table: str, meta: dict, df: DataFrame, parts: int | None) -> list[dict]:
+        """Write a table's rows, distributed by range and sorted by key; what is known of each file.
 
         ``parts``: how many files, by their size unless given (adaptive
-        execution joins small ranges).  ``deal=False``: by the tasks that have
-        the rows.
+        execution joins small ranges).
         """
-        schema = self._schema(meta)
-        if set(schema.names) - set(df.columns):
-            schema = StructType([f for f in schema.fields if f.name in df.columns])
-        rows = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
-        key = meta["key"] if meta["key"] in schema.names else schema.names[0]
-        if deal:
-            rows = rows.repartitionByRange(parts, key) if parts else rows.repartitionByRange(key)
-        if meta["sort"]:
-            rows = rows.sortWithinPartitions(key)
+        rows, key = self._rows(meta, df)
+        rows = rows.repartitionByRange(parts, key) if parts else rows.repartitionByRange(key)
         path = f"{self.root}/{table}/data/{uuid.uuid4().hex}"
-        rows.write.options(**meta["options"]).parquet(path)
-        numeric = schema[key].dataType.typeName() == "long"
-        ends = (F.min(key), F.max(key)) if numeric else (F.lit(None), F.lit(None))
-        stats = self._frame(schema, [path]).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"), ends[0].alias("lo"), ends[1].alias("hi"))
-        return [r.asDict() for r in stats.collect()]  # at most one row a file
+        (rows.sortWithinPartitions(key) if meta["sort"] else rows).write.options(**meta["options"]).parquet(path)
+        stats = self._frame(rows.schema, [path]).groupBy(F.col("_metadata.file_path").alias("path"))
+        return [r.asDict() for r in stats.agg(F.count("*").alias("rows"), *self._ends(rows, key)).collect()]  # at most one row a file
+
+    def _write_some(self, table: str, meta: dict, df: DataFrame, stray=None) -> list[dict]:
+        """Write what one commit adds, by the tasks that have the rows; one entry for all of it, counted while it is written.
+
+        ``stray``: a condition that no row may meet.
+        """
+        rows, key = self._rows(meta, df)
+        path, seen = f"{self.root}/{table}/data/{uuid.uuid4().hex}", Observation()
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(F.when(F.lit(False) if stray is None else stray, 1)).alias("stray"), *self._ends(rows, key))
+        (rows.sortWithinPartitions(key) if meta["sort"] else rows).write.options(**meta["options"]).parquet(path)
+        found = seen.get
+        if found["stray"]:
+            raise ValueError(f"{found['stray']} rows are outside their slot")
+        return [{"path": path, "rows": found["rows"], "lo": found["lo"], "hi": found["hi"]}] if found["rows"] else []
+
+    def _ends(self, rows: DataFrame, key: str) -> tuple:
+        numeric = rows.schema[key].dataType.typeName() == "long"
+        return (F.min(key).alias("lo"), F.max(key).alias("hi")) if numeric else (F.max(F.lit(None).cast("long")).alias("lo"), F.max(F.lit(None).cast("long")).alias("hi"))
 
     def _as(self, seq: int, found: list[dict], **more) -> list[dict]:
         return [{**f, "seq": seq, **more} for f in found]
@@ -226,10 +242,8 @@ class SnapshotStore:
     def replace_slot(self, table: str, slot: str, df: DataFrame, **properties) -> None:
         """One value of the partition column anew: writing it twice leaves it as once.  Rows are written by the tasks that have them."""
         meta = self.snapshot(table)
-        stray = df.where(~F.coalesce(F.col(meta["partition"]).cast("string"), F.lit("null")).eqNullSafe(F.lit(slot)))
-        if not stray.isEmpty():
-            raise ValueError(f"rows outside slot {slot}")
-        new = self._as(meta["version"] + 1, self._write(table, meta, df, deal=False), slot=slot)
+        stray = ~F.coalesce(F.col(meta["partition"]).cast("string"), F.lit("null")).eqNullSafe(F.lit(slot))
+        new = self._as(meta["version"] + 1, self._write_some(table, meta, df, stray), slot=slot)
         self._commit(table, meta, data=[e for e in meta["data"] if e.get("slot") != slot] + new, properties=meta["properties"] | properties, operation="replace")
 
     def merge(self, table: str, upserts: DataFrame, deletes: DataFrame, **properties) -> None:
@@ -254,11 +268,11 @@ class SnapshotStore:
     def _add(self, table: str, meta: dict, rows: DataFrame, gone: DataFrame, replaces: bool, properties: dict, operation: str) -> None:
         """Commit rows and gone keys; ``replaces``: the rows' own keys are gone from older files too."""
         seq, guard = meta["version"] + 1, meta["guard"]
-        new = self._write(table, meta, rows)
+        new = self._write_some(table, meta, rows)
         lists = [gone.select(F.col(gone.columns[0]).alias(guard))]
         if replaces and new:
             lists.append(self._frame(self._schema(meta), [n["path"] for n in new]).select(guard))
-        taken = self._write(table, meta, reduce(DataFrame.union, lists))
+        taken = self._write_some(table, meta, reduce(DataFrame.union, lists))
         meta = self._commit(
             table, meta, data=meta["data"] + self._as(seq, new), gone=meta["gone"] + self._as(seq, taken) if meta["data"] else [], properties=meta["properties"] | properties, operation=operation
         )
@@ -300,7 +314,7 @@ class SnapshotStore:
         used = set()
         for v in versions[-max(1, keep) :]:
             meta = self.snapshot(table, v)
-            used |= {e["path"].split("/")[-2] for e in meta["data"] + meta["gone"]}
+            used |= {e["path"].rpartition("/data/")[2].split("/")[0] for e in meta["data"] + meta["gone"]}
         folder, removed = self._path(f"{self.root}/{table}/data"), 0
         for status in self._fs.listStatus(folder) if self._fs.exists(folder) else ():
             if status.getPath().getName() not in used:
