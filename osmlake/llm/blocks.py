@@ -175,7 +175,12 @@ def corpus_counts(table: DataFrame, parts: int, kinds: Callable[[pa.Table], tupl
     def emit(rows: pa.Table) -> pa.Table:
         return send(rows.column(BLOCK)[0].as_py(), *(lambda a, k: (a, parts, k))(*kinds(rows)))
 
-    return table.groupBy(BLOCK).applyInArrow(emit, SENT).groupBy(PART).applyInArrow(_totals, ANSWER)
+    return by_part(table.groupBy(BLOCK).applyInArrow(emit, SENT), parts).applyInArrow(_totals, ANSWER)
+
+
+def by_part(rows: DataFrame, parts: int):
+    """Messages grouped by partition of the key space, a few partitions a task whatever the session's setting: tasks don't grow with the input."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 3), PART).groupBy(PART)
 
 
 def answers(rows: pa.Table, parts: int, kinds: int, column: str = "counts") -> list[np.ndarray]:

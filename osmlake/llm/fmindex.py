@@ -1,36 +1,44 @@
 """A compressed FM-index over integer symbols, in numpy.
 
 The Burrows-Wheeler transform is held in a wavelet tree, level by level: one
-packed bit vector for each bit of the symbols with counts at word ends.
-Suffixes are sorted to a bounded depth, which is exact for patterns shorter
-than it.
+packed bit vector for each bit of the symbols, with counts of ones in two
+layers (a quarter bit for each bit).  Of the suffix array only every few
+positions are kept; a row is located by stepping back to the next of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Symbols by which suffixes are sorted; patterns must be shorter.
-DEPTH = 32
+#: One text position in so many is kept with its row.
+RATE = 4
 
-_ONE, _SIX, _LOW = np.uint64(1), np.uint64(6), np.uint64(63)
+_ONE = np.uint64(1)
 
 
 class Bits:
-    """A bit vector with constant-time rank: 64-bit words and the count of ones before each."""
+    """A bit vector with constant-time rank: 64-bit words, ones before each word inside its block of 64 words, ones before each block."""
 
     def __init__(self, bits: np.ndarray):
         padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]])
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]])
+        self.blocks = before[::64].copy()
+        self.inside = (before - np.repeat(self.blocks, 64)[: len(before)]).astype(np.uint16)
         self.zeros = len(bits) - int(bits.sum())
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before position i."""
         at = i >> 6
         mask = (_ONE << (i & 63).astype(np.uint64)) - _ONE
-        return self.before[at] + np.bitwise_count(self.words[at] & mask)
+        return self.blocks[at >> 6] + self.inside[at] + np.bitwise_count(self.words[at] & mask)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64) & _ONE).astype(np.int64)
+
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.inside.nbytes + self.blocks.nbytes
 
 
 class WaveletTree:
@@ -44,8 +52,7 @@ class WaveletTree:
             bit = (now >> level) & 1
             self.levels.append(Bits(bit.astype(np.uint8)))
             now = np.concatenate([now[bit == 0], now[bit == 1]])
-        every = np.arange(symbols)
-        self.base = self._down(every, np.zeros(symbols, np.int64))
+        self.base = self._down(np.arange(symbols), np.zeros(symbols, np.int64))
 
     def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for bits, level in zip(self.levels, range(self.height - 1, -1, -1)):
@@ -57,6 +64,15 @@ class WaveletTree:
         """Occurrences of each symbol before its position i."""
         return self._down(symbol, i) - self.base[symbol]
 
+    def access(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the symbol at each position, its occurrences before that)."""
+        symbol = np.zeros(len(i), np.int64)
+        for bits in self.levels:
+            bit, ones = bits.get(i), bits.rank(i)
+            i = np.where(bit, bits.zeros + ones, i - ones)
+            symbol = symbol * 2 + bit
+        return symbol, i - self.base[symbol]
+
 
 def _dense(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(keys, kind="stable")
@@ -66,81 +82,77 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _suffixes(text: np.ndarray) -> np.ndarray:
+    """The suffix array, by doubling until every suffix has a rank of its own."""
+    n = len(text)
+    rank, size = _dense(text), 1
+    while size < n and rank.max() < n - 1:
+        rank = _dense(rank * (n + 2) + np.concatenate([rank[size:] + 1, np.zeros(size, np.int64)]))
+        size *= 2
+    return np.argsort(rank, kind="stable")
+
+
 class FmIndex:
-    """Backward search in a text of symbols; symbol 0 separates pieces and is in no pattern.
-
-    ``length``: the match length at which occurrences are grouped.
-    """
-
-    def __init__(self, text: np.ndarray, symbols: int, length: int):
-        if not 16 <= length < DEPTH - 1:
-            raise ValueError("the length must be from 16 to DEPTH - 2")
-        n = len(text)
-        rank, held = _dense(text.astype(np.int64)), {}
-        shift = lambda r, k: np.concatenate([r[k:] + 1, np.zeros(min(k, n), np.int64)])
-        size = 1
-        while size < DEPTH:
-            held[size] = rank
-            rank = _dense(rank * (n + 2) + shift(rank, size))
-            size *= 2
-        self.suffixes = np.argsort(rank, kind="stable")
-        rest = length - 16
-        tail = np.zeros(n, np.int64)
-        at = 16
-        for part in (8, 4, 2, 1):
-            if rest & part:
-                tail = _dense(tail * (n + 2) + shift(held[part], at))
-                at += part
-        prefix = _dense(held[16] * (n + 2) + tail)[self.suffixes]
-        first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
-        group = np.cumsum(np.concatenate([[0], (prefix[1:] != prefix[:-1]).astype(np.int64)]))
-        #: For each row the group of suffixes that share its first ``length`` symbols.
-        self.group, self.first, self.last = group, first, np.append(first[1:], n)
-        #: The least position of each group.
-        self.least = np.minimum.reduceat(self.suffixes, first)
-        self.length = length
-        self.tree = WaveletTree(text[self.suffixes - 1], symbols)
-        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])[:-1]
-        self.n = n
-
-    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One step of backward search: the rows of symbol + pattern from those of the pattern."""
-        c = self.smaller[symbol]
-        return c + self.tree.rank(symbol, low), c + self.tree.rank(symbol, high)
-
-    def matching_statistics(self, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Matches of every position of the query pieces ``flat[first[i]:first[i]+size[i]]``, from their ends.
-
-        (match length, at most ``length``; row of a suffix that has the match),
-        both over ``flat``.  All pieces are searched in step.  A piece that
-        stops matching goes on from its next symbol with length 0.
+    """Backward search in a text of symbols below ``symbols``; symbol 0 ends every piece of it and is in no pattern."""
+
+    def __init__(self, text: np.ndarray, symbols: int):
+        if not len(text) or text[-1]:
+            raise ValueError("the text must end in symbol 0")
+        text = text.astype(np.int64)
+        suffixes = _suffixes(text)
+        before = text[suffixes - 1]
+        self.n = len(text)
+        self.tree = WaveletTree(before, symbols)
+        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
+        kept = (suffixes % RATE == 0) | (before == 0)  # a step back never crosses a separator
+        self.kept = Bits(kept.astype(np.uint8))
+        self.positions = suffixes[kept].astype(np.uint32 if self.n < 1 << 32 else np.int64)
+
+    def nbytes(self) -> int:
+        return sum(b.nbytes() for b in (*self.tree.levels, self.kept)) + self.positions.nbytes + self.smaller.nbytes + self.tree.base.nbytes
+
+    def statistics(self, query: np.ndarray, ends: np.ndarray, floors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics: for each end in ``query`` the length of the longest match of the text that ends there.
+
+        A match begins at or after its floor and has ``most`` symbols at most;
+        symbol 0 matches nothing.  (length, first row, row after the last) of
+        the suffixes that begin with the match.  All ends are searched in step,
+        symbol by symbol from the right; an end that fails is done.
         """
-        matched = np.zeros(len(flat), np.int64)
-        row = np.zeros(len(flat), np.int64)
-        order = np.argsort(-size, kind="stable")
-        first, size = first[order], size[order]
-        low, high = np.zeros(len(first), np.int64), np.full(len(first), self.n, np.int64)
-        got = np.zeros(len(first), np.int64)
-        live = len(first)
-        for t in range(int(size[0]) if len(size) else 0):
-            while size[live - 1] <= t:
-                live -= 1
-            lo, hi, m = low[:live], high[:live], got[:live]
-            full = m == self.length
-            if full.any():
-                g = self.group[lo[full]]
-                lo[full], hi[full] = self.first[g], self.last[g]
-            at = first[:live] + size[:live] - 1 - t
-            a, b = self.extend(flat[at], lo, hi)
-            lost = a >= b
-            if lost.any():
-                a[lost], b[lost] = 0, self.n
-                m = np.where(lost, -1, m)
-            low[:live], high[:live] = a, b
-            got[:live] = np.minimum(m + 1, self.length)
-            matched[at], row[at] = got[:live], a
-        return matched, row
-
-    def earliest(self, rows: np.ndarray) -> np.ndarray:
-        """The least text position among the suffixes that share ``length`` symbols with each row's."""
-        return self.least[self.group[rows]]
+        length = np.zeros(len(ends), np.int64)
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        live = np.arange(len(ends))
+        for t in range(most):
+            at = ends[live] - 1 - t
+            live, at = live[at >= floors[live]], at[at >= floors[live]]
+            symbol = query[at]
+            live, symbol = live[symbol > 0], symbol[symbol > 0]
+            if not len(live):
+                break
+            if t:
+                a = self.smaller[symbol] + self.tree.rank(symbol, low[live])
+                b = self.smaller[symbol] + self.tree.rank(symbol, high[live])
+            else:
+                a, b = self.smaller[symbol], self.smaller[symbol + 1]
+            there = a < b
+            live, a, b = live[there], a[there], b[there]
+            low[live], high[live], length[live] = a, b, t + 1
+        return length, low, high
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """The text position of each row's suffix."""
+        out = np.empty(len(rows), np.int64)
+        live, row, steps = np.arange(len(rows)), rows, 0
+        while len(live):
+            known = self.kept.get(row) == 1
+            out[live[known]] = self.positions[self.kept.rank(row[known])] + steps
+            live, row = live[~known], row[~known]
+            symbol, count = self.tree.access(row)
+            row, steps = self.smaller[symbol] + count, steps + 1
+        return out
+
+    def earliest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least position in each (not empty) range of rows."""
+        size = high - low
+        flat = np.repeat(low, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        return np.minimum.reduceat(self.locate(flat), np.cumsum(size) - size) if len(size) else np.zeros(0, np.int64)

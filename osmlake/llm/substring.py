@@ -9,11 +9,14 @@ and are not sent.  A key that very many segments share is dealt further by the
 hash of each window.  Equal segments are merged where they arise and again in
 the shard, so thousands of copies are one entry.
 
-A shard's index is over its distinct segments in the order of their first
-occurrences.  All segments are streamed through backward search over its
-wavelet tree; where the matching statistic reaches 20 words, the earliest
-occurrence of the window is reported.  A window is a repeat in every document
-but there, and its words are removed.
+A shard's index holds what may repeat, once: of the windows whose hash was met
+twice the first occurrence, neighbours joined.  Everything that documents have
+sent is streamed through backward search over its wavelet tree; the matching
+statistics say which stretches reach 20 words of the index, and locating them
+says where each was first.  These intervals go back to the blocks, which remove
+the words of every interval that started earlier than their own.  Hashes only
+choose what is indexed: a word goes where the search, on the words themselves,
+has found its window.
 """
 
 from __future__ import annotations
@@ -30,18 +33,20 @@ from pyspark.sql.types import StringType, StructField, StructType
 from osmlake.llm import blocks as bk
 from osmlake.llm import textkernel as tk
 from osmlake.llm.fmindex import FmIndex
-from osmlake.llm.runtime import materialise, shared_dir
+from osmlake.llm.runtime import materialise, neutral, shared_dir
 
 #: Words of a window and of the grams that choose its shard.
 WINDOW, GRAM = 20, 6
 #: Segments in the corpus from which a key is dealt by the hash of each window.
 COMMON = 2048
-#: Windows of a query piece; longer segments are searched as several overlapping pieces.
-PIECE = 64
+#: Windows that are searched at once.
+SEARCHED = 1 << 19
 NO_DOC = -(1 << 63)
 
-SEGMENTS = f"{bk.PART} int, {bk.BLOCK} long, docs binary, starts binary, sizes binary, texts binary"
-REPEATS = f"{bk.BLOCK} long, {bk.PART} int, docs binary, starts binary, odd_at binary, odd_docs binary, odd_starts binary"
+SEGMENTS = f"{bk.PART} int, {bk.BLOCK} long, docs binary, starts binary, sizes binary, more binary, texts binary"
+#: Intervals: of which entry that a block sent, its first window, windows, and where that first started.
+INTERVALS = ("entry", "first", "windows", "docs", "starts")
+REPEATS = f"{bk.BLOCK} long, {bk.PART} int, " + ", ".join(f"{c} binary" for c in INTERVALS)
 
 
 class Segments:
@@ -146,9 +151,74 @@ class Sent:
             self.held.append((int(self.shard[a]), firsts, list(known)))
 
 
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... (n of them) of every row, one after another."""
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+class Shard:
+    """Distinct entries of a shard: their words as numbers, their windows, and where each was first."""
+
+    def __init__(self, entries: list[tuple[bytes, int]], doc: np.ndarray, start: np.ndarray, times: np.ndarray):
+        self.doc, self.start, self.times = doc, start, times
+        self.size = np.fromiter((n for _, n in entries), np.int64, len(entries))
+        known: dict[bytes, int] = {}
+        length = self.size + WINDOW - 1
+        self.words = np.fromiter((known.setdefault(w, len(known)) for text, _ in entries for w in text.split(b" ")), np.int64, int(length.sum()))
+        self.vocabulary = len(known)
+        #: Of every window: its entry, its place there, and its first word.
+        self.entry = np.repeat(np.arange(len(entries)), self.size)
+        self.place = _spread(np.zeros(len(entries), np.int64), self.size)
+        self.at = _spread(np.cumsum(length) - length, self.size)
+
+    def candidates(self) -> np.ndarray:
+        """Whether a window is the first occurrence of one whose hashes were met twice."""
+        one, two = (tk.windows(tk.mix(self.words.astype(np.uint64) + np.uint64(seed)), WINDOW)[self.at] for seed in (1, 1 << 40))
+        order = np.lexsort((self.start[self.entry] + self.place, self.doc[self.entry], two, one))
+        lead = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+        met = np.add.reduceat(self.times[self.entry[order]], np.flatnonzero(lead))
+        out = np.zeros(len(order), bool)
+        out[order[np.flatnonzero(lead)[met > 1]]] = True
+        return out
+
+    def intervals(self) -> tuple[np.ndarray, ...]:
+        """(entry, first window, windows, doc, start): stretches of entries that the index has, and where each first started."""
+        chosen = np.flatnonzero(self.candidates())
+        if not len(chosen):
+            return tuple(np.zeros(0, np.int64) for _ in INTERVALS)
+        new = np.concatenate([[True], (np.diff(chosen) > 1) | (np.diff(self.entry[chosen]) != 0)])
+        lead = chosen[new]  # the first window of each run of neighbours
+        n = np.diff(np.append(np.flatnonzero(new), len(chosen))) + WINDOW - 1
+        run = self.words[_spread(self.at[lead], n)]
+        used, run = np.unique(run, return_inverse=True)
+        text = np.insert(run + 1, np.cumsum(n), 0)  # 0 after each run
+        begin = np.cumsum(n + 1) - n - 1
+        index = FmIndex(text, len(used) + 1)
+        number = np.zeros(self.vocabulary, np.int64)
+        number[used] = np.arange(1, len(used) + 1)
+        query = number[self.words]
+        found, position = [], []
+        for k in range(0, len(self.at), SEARCHED):
+            floor = self.at[k : k + SEARCHED]
+            matched, low, high = index.statistics(query, floor + WINDOW, floor, WINDOW)
+            hit = np.flatnonzero(matched == WINDOW)
+            found.append(hit + k)
+            position.append(index.earliest(low[hit], high[hit]))
+        hit, position = np.concatenate(found), np.concatenate(position)
+        source = np.searchsorted(begin, position, side="right") - 1
+        e = self.entry[lead[source]]
+        doc, start = self.doc[e], self.start[e] + self.place[lead[source]] + position - begin[source]
+        entry, place = self.entry[hit], self.place[hit]
+        new = np.concatenate([[True], (np.diff(entry) != 0) | (np.diff(place) != 1) | (np.diff(doc) != 0) | (np.diff(start) != 1)]) if len(hit) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        out = (entry[first], place[first], np.diff(np.append(first, len(hit))), doc[first], start[first])
+        own = (self.times[out[0]] == 1) & (self.doc[out[0]] == out[3]) & (self.start[out[0]] + out[1] == out[4])
+        return tuple(x[~own] for x in out)  # the only occurrence of an entry needn't hear of itself
+
+
 def _shard(table: pa.Table) -> pa.Table:
     """The repeats of one shard, for each block that sent it segments."""
-    sent, first_of, text_of = [], [], {}
+    sent, text_of = [], {}
     for block, docs, starts, sizes, texts in zip(*(table.column(c).to_pylist() for c in (bk.BLOCK, "docs", "starts", "sizes", "texts"))):
         docs, starts, sizes = (bk.unpack_ints(x) for x in (docs, starts, sizes))
         number = np.empty(len(docs), np.int64)
@@ -156,80 +226,46 @@ def _shard(table: pa.Table) -> pa.Table:
             number[k] = text_of.setdefault((text, int(sizes[k])), len(text_of))
         sent.append((block, number, docs, starts))
     number, docs, starts = (np.concatenate(x) for x in zip(*((n, d, s) for _, n, d, s in sent)))
+    times = np.bincount(number) + np.bincount(number, np.concatenate([x for x in _more(table)])).astype(np.int64)
     order = np.lexsort((starts, docs, number))
-    lead = order[np.concatenate([[True], number[order][1:] != number[order][:-1]])]
-    doc, start = docs[lead], starts[lead]  # the first occurrence of each distinct segment
-    in_turn = np.lexsort((start, doc))
-    entries = list(text_of)
-    vocabulary: dict[bytes, int] = {}
-    pieces, offset, total = [], np.empty(len(entries), np.int64), 0
-    for e in in_turn.tolist():
-        words = entries[e][0].split(b" ")
-        offset[e] = total
-        pieces.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in words), np.int64, len(words)))
-        pieces.append(np.zeros(1, np.int64))
-        total += len(words) + 1
-    text = np.concatenate(pieces)
-    size = np.fromiter((n for _, n in entries), np.int64, len(entries))
-    index = FmIndex(text, len(vocabulary) + 1, WINDOW)
-    # queries: the segments themselves, in pieces of a bounded length
-    per = -(-size // PIECE)
-    owner = np.repeat(np.arange(len(size)), per)
-    step = (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * PIECE
-    length = np.minimum(size[owner] - step, PIECE) + WINDOW - 1
-    q_first = np.concatenate([[0], np.cumsum(length)])[:-1]
-    flat = text[np.repeat(offset[owner] + step - q_first, length) + np.arange(int(length.sum()))]
-    matched, row = index.matching_statistics(flat, q_first, length)
-    # windows of all segments, in order
-    base = np.cumsum(size) - size
-    window_owner = np.repeat(np.arange(len(size)), size)
-    j = np.arange(int(size.sum())) - base[window_owner]
-    piece = (np.cumsum(per) - per)[window_owner] + j // PIECE
-    at = q_first[piece] + j % PIECE
-    if (matched[at] < WINDOW).any():
-        raise AssertionError("a segment isn't in its own index")
-    early = index.earliest(row[at])
-    by_offset = np.argsort(offset)
-    source = by_offset[np.searchsorted(offset[by_offset], early, side="right") - 1]
-    e_doc, e_start = doc[source], start[source] + early - offset[source]
-    odd = (e_doc != doc[window_owner]) | (e_start != start[window_owner] + j)
-    n_odd = np.bincount(window_owner, odd, minlength=len(size)).astype(np.int64)
-    odd_at = np.flatnonzero(odd)
-    odd_base = np.cumsum(n_odd) - n_odd
-    rows = []
-    part = table.column(bk.PART)[0].as_py()
+    lead = order[np.concatenate([[True], number[order][1:] != number[order][:-1]])]  # the first occurrence of each distinct segment
+    entry, *rest = Shard(list(text_of), docs[lead], starts[lead], times).intervals()
+    n_of = np.bincount(entry, minlength=len(text_of))
+    base = np.cumsum(n_of) - n_of
+    rows, part = [], table.column(bk.PART)[0].as_py()
     for block, number, _, _ in sent:
-        count = n_odd[number]
-        own = odd_at[np.repeat(odd_base[number], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)]
-        local = np.repeat(np.cumsum(size[number]) - size[number], count) + j[own]  # by window of what the block sent
-        rows.append((block, part, *map(bk.pack_ints, (doc[number], start[number], local, e_doc[own], e_start[own]))))
-    types = [pa.int64(), pa.int32()] + [pa.binary()] * 5
-    return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=[bk.BLOCK, bk.PART, "docs", "starts", "odd_at", "odd_docs", "odd_starts"])
+        n = n_of[number]
+        if n.any():
+            own = _spread(base[number], n)
+            rows.append((block, part, *map(bk.pack_ints, (np.repeat(np.arange(len(number)), n), *(x[own] for x in rest)))))
+    types = [pa.int64(), pa.int32()] + [pa.binary()] * len(INTERVALS)
+    columns = list(zip(*rows)) if rows else [[]] * len(types)
+    return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=[bk.BLOCK, bk.PART, *INTERVALS])
+
+
+def _more(table: pa.Table) -> list[np.ndarray]:
+    """How often each block has its segments beyond once."""
+    return [bk.unpack_ints(x) for x in table.column("more").to_pylist()]
 
 
 def _removed(rows: pa.Table, s: Segments, sent: Sent, found: pa.Table) -> np.ndarray:
     """For each word of the block whether a repeated window covers it."""
-    ids = _doc_ids(rows)
-    doc_of = np.repeat(ids, np.diff(s.first))
+    doc_of = np.repeat(_doc_ids(rows), np.diff(s.first))
     pos_of = np.arange(len(s.words)) - np.repeat(s.first[:-1], np.diff(s.first))
     edge = np.zeros(len(s.words) + 1, np.int64)
     said = {p: k for k, p in enumerate(found.column(bk.PART).to_pylist())}
-    columns = {c: found.column(c).to_pylist() for c in ("docs", "starts", "odd_at", "odd_docs", "odd_starts")}
+    columns = {c: found.column(c).to_pylist() for c in INTERVALS}
     for (shard, firsts, _), a, b in zip(sent.held, sent.edges[:-1].tolist(), sent.edges[1:].tolist()):
-        k = said[shard]
-        doc, start, odd_at, odd_doc, odd_start = (bk.unpack_ints(columns[c][k]) for c in columns)
-        size = sent.size[a:b][np.array(firsts) - a]
-        base = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(size)), size)
-        w_doc, w_start = doc[owner], start[owner] + np.arange(len(owner)) - base[owner]
-        w_doc[odd_at], w_start[odd_at] = odd_doc, odd_start
-        entry, n = sent.entry[a:b], sent.size[a:b]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        window = np.repeat(base[entry], n) + inside
-        at = np.repeat(sent.at[a:b], n) + inside
-        repeat = (w_doc[window] < doc_of[at]) | ((w_doc[window] == doc_of[at]) & (w_start[window] < pos_of[at]))
-        at = at[repeat]
-        edge += np.bincount(at, minlength=len(edge)) - np.bincount(at + WINDOW, minlength=len(edge))[: len(edge)]
+        if shard not in said:
+            continue
+        entry, first, windows, doc, start = (bk.unpack_ints(columns[c][said[shard]]) for c in INTERVALS)
+        n_of = np.bincount(entry, minlength=len(firsts))
+        n = n_of[sent.entry[a:b]]
+        k = _spread((np.cumsum(n_of) - n_of)[sent.entry[a:b]], n)  # the intervals of each occurrence
+        at = np.repeat(sent.at[a:b], n) + first[k]
+        earlier = (doc[k] < doc_of[at]) | ((doc[k] == doc_of[at]) & (start[k] < pos_of[at]))
+        at, upto = at[earlier], (at + windows[k] + WINDOW - 1)[earlier]
+        edge += np.bincount(at, minlength=len(edge)) - np.bincount(upto, minlength=len(edge))
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -244,17 +280,17 @@ def _run(docs: DataFrame, finish, schema) -> DataFrame:
         sent = Sent(rows, s, found, parts)
         ids = _doc_ids(rows)
         out = []
-        for shard, firsts, texts in sent.held:
-            at = sent.at[firsts]
+        for (shard, firsts, texts), a, b in zip(sent.held, sent.edges[:-1].tolist(), sent.edges[1:].tolist()):
+            at, more = sent.at[firsts], np.bincount(sent.entry[a:b], minlength=len(firsts)) - 1
             owner = np.searchsorted(s.first, at, side="right") - 1
-            out.append((shard, found.column(bk.BLOCK)[0].as_py(), bk.pack_ints(ids[owner]), bk.pack_ints(at - s.first[owner]), bk.pack_ints(sent.size[firsts]), bk.zstandard.ZstdCompressor(level=1).compress(b"\n".join(texts))))
-        types = [pa.int32(), pa.int64()] + [pa.binary()] * 4
-        columns = list(zip(*out)) if out else [[]] * 6
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=[bk.PART, bk.BLOCK, "docs", "starts", "sizes", "texts"])
+            out.append((shard, found.column(bk.BLOCK)[0].as_py(), bk.pack_ints(ids[owner]), bk.pack_ints(at - s.first[owner]), bk.pack_ints(sent.size[firsts]), bk.pack_ints(more), bk.zstandard.ZstdCompressor(level=1).compress(b"\n".join(texts))))
+        types = [pa.int32(), pa.int64()] + [pa.binary()] * 5
+        columns = list(zip(*out)) if out else [[]] * 7
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=[bk.PART, bk.BLOCK, "docs", "starts", "sizes", "more", "texts"])
 
     segments = table.groupBy(bk.BLOCK).cogroup(known.groupBy(bk.BLOCK)).applyInArrow(emit, SEGMENTS)
-    repeats = materialise(segments.groupBy(bk.PART).applyInArrow(_shard, REPEATS), f"{base}/repeats")
-    empty = [F.lit(None).cast("binary").alias(c) for c in ("docs", "starts", "odd_at", "odd_docs", "odd_starts")]
+    repeats = materialise(bk.by_part(segments, parts).applyInArrow(_shard, REPEATS), f"{base}/repeats")
+    empty = [F.lit(None).cast("binary").alias(c) for c in INTERVALS]
     side = known.select(bk.BLOCK, bk.PART, "counts", *empty).unionByName(repeats.withColumn("counts", F.lit(None).cast("binary")))
 
     def settle(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -324,10 +360,14 @@ def intervals(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All rows of ``docs``; a text with repeats becomes its kept words, joined by one space.
 
-    Texts without repeats stay as they are; ``n_chars``, where there is such a
-    column, follows the text.
+    Texts without repeats, null and empty ones among them, stay as they are;
+    ``n_chars``, where there is such a column, follows the text.  A null doc_id
+    counts as the smallest; rows that share a doc_id are each a document, and
+    of equal ones neither is earlier.  An empty table stays empty; other
+    columns are kept whatever they are called.
     """
-    names = docs.columns
+    plain = neutral(docs, ("doc_id", "text", "n_chars"))
+    names = plain.columns
 
     def finish(rows: pa.Table, s: Segments, gone: np.ndarray) -> pa.Table:
         cut = np.concatenate([[0], np.cumsum(gone)])
@@ -341,5 +381,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out = out.set_column(k, "n_chars", pa.array(sizes, rows.schema.field("n_chars").type))
         return out
 
-    schema = StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields])
-    return _run(docs, finish, schema)
+    schema = StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in plain.schema.fields])
+    return _run(plain, finish, schema).toDF(*docs.columns)

@@ -183,19 +183,39 @@ def test_substring_texts_and_intervals(docs, texts):
 
 def test_fm_index_finds_what_is_there():
     r = np.random.default_rng(2)
-    text = np.concatenate([r.integers(1, 4, 400), [0], r.integers(1, 4, 300), [0]])
-    index = fmindex.FmIndex(text, 4, 16)
-    pieces = [text[50:90], text[402:420], r.integers(1, 4, 30)]
-    flat = np.concatenate(pieces)
-    size = np.array([len(p) for p in pieces])
-    first = np.cumsum(size) - size
-    matched, row = index.matching_statistics(flat, first, size)
-    for p, a in zip(pieces, first):
-        for k in range(len(p)):
-            if matched[a + k] == 16:
-                at = [x for x in range(len(text) - 15) if (text[x : x + 16] == p[k : k + 16]).all()]
-                assert index.earliest(row[a + k : a + k + 1])[0] == at[0]
-    assert (matched[: len(pieces[0]) - 15] == 16).all()
+    text = np.concatenate([r.integers(1, 4, 400), [0], r.integers(1, 4, 300), [0], np.full(70, 2), [0]])
+    index = fmindex.FmIndex(text, 4)
+    assert sorted(index.locate(np.arange(len(text))).tolist()) == list(range(len(text)))
+    query = np.concatenate([text[50:90], text[402:420], r.integers(0, 4, 60), np.full(30, 2)])
+    said = text.astype(np.uint8).tobytes()
+    for floor, most in ((0, 16), (0, 40), (30, 7)):
+        ends = np.arange(floor, len(query) + 1)
+        matched, low, high = index.statistics(query, ends, np.full(len(ends), floor), most)
+        assert (high > low).all()
+        first = index.earliest(low, high)
+        for e, m, a, n in zip(ends.tolist(), matched.tolist(), first.tolist(), (high - low).tolist()):
+            there = [k for k in range(min(most, e - floor) + 1) if 0 not in query[e - k : e] and query[e - k : e].astype(np.uint8).tobytes() in said]
+            assert m == max(there)
+            found = [x for x in range(len(text) - m + 1) if (text[x : x + m] == query[e - m : e]).all()] if m else [0]
+            assert a == found[0] and (not m or n == len(found))
+
+
+def test_fm_index_is_compressed():
+    r = np.random.default_rng(3)
+    text = np.append(r.integers(1, 1000, 100_000), 0)
+    index = fmindex.FmIndex(text, 1000)
+    assert index.nbytes() < 3 * len(text)  # against 8 bytes a word for the words alone
+
+
+def test_the_search_decides_what_repeats(docs, texts, monkeypatch):
+    entries = [(b" ".join(b"w%d" % k for k in range(a, b)), b - a - 19) for a, b in ((0, 40), (10, 30), (5, 45), (100, 125))]
+    shard = substring.Shard(entries, np.array([7, 5, 9, 1]), np.array([0, 3, 0, 0]), np.array([1, 1, 1, 2]))
+    got = sorted(zip(*(x.tolist() for x in shard.intervals())))
+    want = [(0, 10, 1, 5, 3), (2, 0, 5, 7, 5), (2, 5, 1, 5, 3), (2, 6, 10, 7, 11), (3, 0, 6, 1, 0)]
+    assert got == want
+    nothing_found = lambda self, query, ends, floors, most: (np.zeros(len(ends), np.int64),) * 3
+    monkeypatch.setattr(fmindex.FmIndex, "statistics", nothing_found)
+    assert [len(x) for x in shard.intervals()] == [0] * 5
 
 
 # -- 4
