@@ -1,7 +1,11 @@
 """A corpus pipeline: from raw documents to token ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; every stage but the last returns the columns of ``documents``.
+kept; every stage but the last returns the columns of ``documents``.  In every
+stage a null text counts as an empty one and stays null, rows without a doc_id
+are kept and judged by their text, rows that repeat a doc_id are each judged by
+their own text, further columns are carried along whatever they are called, and
+an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,12 +23,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the least id stays."""
+    """Of each group of linked fingerprints the document with the least id stays; null and empty texts are one such group."""
     return simhash.keep_representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Word windows that started earlier are cut out of the texts; no document goes."""
+    """Word windows that started earlier are cut out of the texts; no document goes, and n_chars follows the text."""
     return substring.without_repeats(docs)
 
 
@@ -34,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with digests of the ids and of the bytes they decode to."""
+    """Token ids of what is left, with digests of the ids and of the bytes they decode to; other columns end here."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
 
 

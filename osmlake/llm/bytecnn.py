@@ -160,6 +160,13 @@ def score(docs: DataFrame, net: ByteCnn) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Train, then (doc_id, held_out, score, predicted) for every document."""
+    """Train, then (doc_id, held_out, score, predicted) for every document.
+
+    A null text is scored as an empty one; a null doc_id stays null, is held
+    out as an empty text would be and is never learned from.  Rows that repeat
+    a doc_id each get a row, and with a label each is learned from.  Without
+    labels of both classes every document has the same score; an empty table
+    gives an empty result.  Extra columns of either table are ignored.
+    """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

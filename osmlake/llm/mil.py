@@ -101,6 +101,13 @@ def noisy_or(weights: np.ndarray, bag: Bag) -> tuple[np.ndarray, np.ndarray]:
     return -np.expm1(-spared), _sigmoid(z)
 
 
+def sentence_gradient(weights: np.ndarray, bag: Bag, y: np.ndarray) -> np.ndarray:
+    """How the documents' mean negative log-likelihood changes with the log-odds of each sentence."""
+    doc, p = noisy_or(weights, bag)
+    pull = np.where(y > 0, -(1 - doc) / np.maximum(doc, 1e-9), 1.0)
+    return p * pull[bag.owner] / len(y)
+
+
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     """Weights by proximal AdaGrad on the documents' log-likelihood; without both classes a constant model."""
     weights = np.zeros(BUCKETS)
@@ -122,16 +129,14 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndar
     held = np.full(BUCKETS, 1e-3)
     for _ in range(epochs):
         for bag, y, touched, inverse in steps:
-            doc, p = noisy_or(weights, bag)
-            pull = np.where(y > 0, -(1 - doc) / np.maximum(doc, 1e-9), 1.0)
-            g_sentence = p * pull[bag.owner]
-            g = np.bincount(inverse, g_sentence[bag.sentence], minlength=len(touched)) / len(y)
+            g_sentence = sentence_gradient(weights, bag, y)
+            g = np.bincount(inverse, g_sentence[bag.sentence], minlength=len(touched))
             g, touched = g[used[touched]], touched[used[touched]]
             held[touched] += g * g
             pace = RATE / np.sqrt(held[touched])
             w = weights[touched] - pace * g
             weights[touched] = np.sign(w) * np.maximum(np.abs(w) - pace * SPARSITY, 0)
-            g = g_sentence.sum() / len(y)
+            g = g_sentence.sum()
             held[-1] += g * g
             weights[-1] -= RATE * g / np.sqrt(held[-1])
     return weights
@@ -200,13 +205,25 @@ def offending(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> D
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train, then (doc_id, held_out, score, predicted, ...) for every document."""
+    """Train, then (doc_id, held_out, score, predicted, ...) for every document.
+
+    A null text is scored as an empty one; a null doc_id stays null, is held
+    out as an empty text would be and is never learned from.  Rows that repeat
+    a doc_id each get a row, and with a label each is learned from.  Without
+    labels of both classes every sentence has the same score; an empty table
+    gives an empty result.  Extra columns of either table are ignored.
+    """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_start", "worst_end", "worst_score")
 
 
 def keep_inoffensive(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the model, trained on them, doesn't call toxic (score below 0.5)."""
+    """The rows of ``docs`` that the model, trained on them, doesn't call toxic (score below 0.5).
+
+    Each row is judged by its own text, whatever its doc_id; a null text counts
+    as empty.  Columns are kept whatever they are called; an empty table stays
+    empty.
+    """
     weights = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
