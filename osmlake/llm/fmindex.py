@@ -129,16 +129,48 @@ class FmIndex:
             live, symbol = live[symbol > 0], symbol[symbol > 0]
             if not len(live):
                 break
+            a, b = self.smaller[symbol], self.smaller[symbol + 1]
             if t:
-                a = self.smaller[symbol] + self.tree.rank(symbol, low[live])
-                b = self.smaller[symbol] + self.tree.rank(symbol, high[live])
-            else:
-                a, b = self.smaller[symbol], self.smaller[symbol + 1]
+                a, b = a.copy(), a.copy()
+                alone = high[live] - low[live] == 1  # one row left: what stands before it is read once
+                own, count = self.tree.access(low[live[alone]])
+                a[alone] += count
+                b[alone] += count + (own == symbol[alone])
+                wide = ~alone
+                a[wide] += self.tree.rank(symbol[wide], low[live[wide]])
+                b[wide] += self.tree.rank(symbol[wide], high[live[wide]])
             there = a < b
             live, a, b = live[there], a[there], b[there]
             low[live], high[live], length[live] = a, b, t + 1
         return length, low, high
 
+    def occurrences(self, query: np.ndarray, at: np.ndarray, first: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+        """For each stretch of ``size`` symbols from ``at`` a row of a suffix that begins with it, -1 if the text lacks it.
+
+        ``at[first[i] : first[i] + count[i]]`` are consecutive positions.  They
+        are gone through from the last one, all stretches in step: where the
+        symbol before the row found is the next one of the query, one step back
+        is the match of the next position, else that is searched anew.
+        """
+        out = np.full(len(at), -1, np.int64)
+        order = np.argsort(-count, kind="stable")
+        first, count = first[order], count[order]
+        row, live = np.full(len(first), -1, np.int64), len(first)
+        for t in range(int(count[0]) if len(count) else 0):
+            while count[live - 1] <= t:
+                live -= 1
+            w = first[:live] + count[:live] - 1 - t
+            now = np.full(live, -1, np.int64)
+            known = np.flatnonzero(row[:live] >= 0)
+            symbol, before = self.tree.access(row[known])
+            same = (symbol == query[at[w[known]]]) & (symbol > 0)
+            now[known[same]] = self.smaller[symbol[same]] + before[same]
+            anew = np.flatnonzero(now < 0)
+            length, low, _ = self.statistics(query, at[w[anew]] + size, at[w[anew]], size)
+            now[anew[length == size]] = low[length == size]
+            row[:live] = out[w] = now
+        return out
+
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """The text position of each row's suffix."""
         out = np.empty(len(rows), np.int64)

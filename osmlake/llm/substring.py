@@ -39,8 +39,8 @@ from osmlake.llm.runtime import materialise, neutral, shared_dir
 WINDOW, GRAM = 20, 6
 #: Segments in the corpus from which a key is dealt by the hash of each window.
 COMMON = 2048
-#: Windows that are searched at once.
-SEARCHED = 1 << 19
+#: Windows of a piece that is searched from its end; longer segments are several pieces.
+PIECE = 64
 NO_DOC = -(1 << 63)
 
 SEGMENTS = f"{bk.PART} int, {bk.BLOCK} long, docs binary, starts binary, sizes binary, more binary, texts binary"
@@ -197,14 +197,12 @@ class Shard:
         number = np.zeros(self.vocabulary, np.int64)
         number[used] = np.arange(1, len(used) + 1)
         query = number[self.words]
-        found, position = [], []
-        for k in range(0, len(self.at), SEARCHED):
-            floor = self.at[k : k + SEARCHED]
-            matched, low, high = index.statistics(query, floor + WINDOW, floor, WINDOW)
-            hit = np.flatnonzero(matched == WINDOW)
-            found.append(hit + k)
-            position.append(index.earliest(low[hit], high[hit]))
-        hit, position = np.concatenate(found), np.concatenate(position)
+        pieces = -(-self.size // PIECE)
+        inner = _spread(np.zeros(len(pieces), np.int64), pieces) * PIECE
+        first = np.repeat(np.cumsum(self.size) - self.size, pieces) + inner
+        rows = index.occurrences(query, self.at, first, np.minimum(np.repeat(self.size, pieces) - inner, PIECE), WINDOW)
+        hit = np.flatnonzero(rows >= 0)
+        position = index.locate(rows[hit])  # the index has no window twice
         source = np.searchsorted(begin, position, side="right") - 1
         e = self.entry[lead[source]]
         doc, start = self.doc[e], self.start[e] + self.place[lead[source]] + position - begin[source]

@@ -200,6 +200,18 @@ def test_fm_index_finds_what_is_there():
             assert a == found[0] and (not m or n == len(found))
 
 
+def test_fm_index_steps_from_match_to_match():
+    r = np.random.default_rng(6)
+    text = np.append(np.insert(r.integers(1, 9, 300), [90, 150, 260], 0), 0)
+    index = fmindex.FmIndex(text, 9)
+    query = np.concatenate([text[40:140], r.integers(0, 9, 25), text[200:240], text[10:60]])
+    at = np.concatenate([np.arange(0, 100), np.arange(110, len(query) - 7)])
+    rows = index.occurrences(query, at, np.array([0, 64, 100, 101]), np.array([64, 36, 1, len(at) - 101]), 8)
+    for a, row in zip(at.tolist(), rows.tolist()):
+        found = [x for x in range(len(text) - 7) if 0 not in query[a : a + 8] and (text[x : x + 8] == query[a : a + 8]).all()]
+        assert (index.locate(np.array([row]))[0] in found) if found else row == -1
+
+
 def test_fm_index_is_compressed():
     r = np.random.default_rng(3)
     text = np.append(r.integers(1, 1000, 100_000), 0)
