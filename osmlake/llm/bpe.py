@@ -8,7 +8,8 @@ that end within ``AHEAD`` characters of the end of a chunk are not trusted.
 If no boundary is shared, the earlier chunk goes on to where one is.
 
 Chunks of documents above ``LONG`` characters are rows of their own, dealt over
-all tasks for pre-tokenising and gathered by document to be stitched; shorter
+all tasks, which pre-tokenise them and encode the pieces; gathered by document
+they are stitched and the ids of the pieces that stand are joined.  Shorter
 documents are cut, stitched and encoded within a task.
 """
 
@@ -18,6 +19,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -130,10 +132,40 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+#: A chunk of a long document: where it begins, its text, the ends of its pieces, and the ids of those with how many each has.
+CHUNKS = "doc_id long, h long, at long, piece string"
+ENCODED = f"{CHUNKS}, ends array<long>, counts array<int>, ids array<int>"
+
+
+def _standing(bpe: ByteBpe, parts: list[dict]) -> list[int]:
+    """The ids of a whole text from its encoded chunks in order: those of the pieces that the stitched text has, others encoded here."""
+    text = "".join(p["piece"][: q["at"] - p["at"]] for p, q in zip(parts, parts[1:])) + parts[-1]["piece"]
+    cuts = np.array(stitch(bpe.pattern, text, [(p["at"], p["at"] + len(p["piece"]), p["ends"]) for p in parts]), np.int64)
+    start, end = cuts[:-1], cuts[1:]
+    source, local = np.full(len(start), -1, np.int64), np.zeros(len(start), np.int64)
+    for c, p in enumerate(parts):
+        ends = np.array(p["ends"], np.int64)
+        begins = np.concatenate([[p["at"]], ends[:-1]])[: len(ends)]
+        k = np.minimum(np.searchsorted(start, begins), max(0, len(start) - 1))
+        same = np.flatnonzero((start[k] == begins) & (end[k] == ends) & (source[k] < 0)) if len(start) else np.zeros(0, np.int64)
+        source[k[same]], local[k[same]] = c, same
+    offsets = [np.concatenate([[0], np.cumsum(p["counts"], dtype=np.int64)]) for p in parts]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(source) != 0) | (np.diff(local) != 1)])) if len(start) else np.zeros(0, np.int64)
+    ids: list[int] = []
+    for a, b in zip(new.tolist(), np.append(new[1:], len(start)).tolist()):
+        c = int(source[a])
+        if c < 0:
+            ids += bpe.encode_pieces([text[x:y] for x, y in zip(start[a:b].tolist(), end[a:b].tolist())])
+        else:
+            ids += parts[c]["ids"][int(offsets[c][local[a]]) : int(offsets[c][local[b - 1] + 1])]
+    return ids
+
+
 def _encoded(docs: DataFrame, ranks, pattern: str, finish, schema) -> DataFrame:
     """``finish(doc ids, lists of token ids)`` of all documents; long ones take the way over chunk rows."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_long = F.coalesce(F.length("text") > LONG, F.lit(False))
+    chunk, overlap = CHUNK, OVERLAP
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.of(ranks.value, pattern)
@@ -142,31 +174,42 @@ def _encoded(docs: DataFrame, ranks, pattern: str, finish, schema) -> DataFrame:
             yield finish(batch.column(0), [bpe.encode(t or "") for t in texts], bpe)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rx = regex.compile(pattern)
+        kinds = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("piece", pa.string())])
         for batch in batches:
+            for k in range(batch.num_rows):
+                doc_id, text, h = (batch.column(c)[k].as_py() for c in ("doc_id", "text", "h"))
+                for a in chunk_starts(len(text), chunk, overlap):
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "h": h, "at": a, "piece": text[a : a + chunk]}], schema=kinds)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBpe.of(ranks.value, pattern)
+        for batch in batches:
+            more = pa.schema([*batch.schema, ("ends", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))])
             for row in batch.to_pylist():
-                found = [row["at"] + x for x in boundaries(rx, row["piece"], 0, len(row["piece"]))]
-                yield pa.RecordBatch.from_pylist([row | {"ends": found}], schema=pa.schema([*batch.schema, ("ends", pa.list_(pa.int64()))]))
+                ends = boundaries(bpe.pattern, row["piece"], 0, len(row["piece"]))
+                found = [bpe.encode_pieces([row["piece"][a:b]]) for a, b in zip([0, *ends], ends)]
+                own = {"ends": [row["at"] + x for x in ends], "counts": [len(x) for x in found], "ids": [i for x in found for i in x]}
+                yield pa.RecordBatch.from_pylist([row | own], schema=more)
 
     def join(rows: pa.Table) -> pa.Table:
         bpe = ByteBpe.of(ranks.value, pattern)
         copies = rows.column("at").to_pylist().count(0)
         unique = {r["at"]: r for r in rows.to_pylist()}
         parts = [unique[k] for k in sorted(unique)]
-        text = "".join(p["piece"][: q["at"] - p["at"]] for p, q in zip(parts, parts[1:])) + parts[-1]["piece"]
-        cuts = stitch(bpe.pattern, text, [(p["at"], p["at"] + len(p["piece"]), p["ends"]) for p in parts])
-        ids = bpe.encode_pieces([text[a:b] for a, b in zip(cuts, cuts[1:])])
+        ids = _standing(bpe, parts)
         return pa.Table.from_batches([finish(pa.array([parts[0]["doc_id"]] * copies, pa.int64()), [ids] * copies, bpe)])
 
-    step = max(1, CHUNK - OVERLAP)
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - OVERLAP - 1, F.lit(0)), F.lit(step))
-    chunks = slim.where(is_long).select("doc_id", F.xxhash64("text").alias("h"), "text", F.explode(starts).alias("at")).select("doc_id", "h", F.col("at").cast("long").alias("at"), F.substring("text", F.col("at") + 1, F.lit(CHUNK)).alias("piece"))
-    spread = chunks.repartition(partitions(docs, 16 << 20), "doc_id", "h", "at").mapInArrow(cut, "doc_id long, h long, at long, piece string, ends array<long>")
+    chunks = slim.where(is_long).withColumn("h", F.xxhash64("text")).mapInArrow(cut, CHUNKS)
+    spread = chunks.repartition(partitions(docs, 16 << 20), "doc_id", "h", "at").mapInArrow(work, ENCODED)
     return slim.where(~is_long).mapInArrow(short, schema).unionByName(spread.groupBy("doc_id", "h").applyInArrow(join, schema))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids): the token ids of every whole text; null text: no ids.  Extra columns are ignored."""
+    """(doc_id, ids): the token ids of every whole text; null text: no ids.
+
+    Repeated rows each get a row, a null doc_id stays null, an empty table
+    gives an empty result.  Extra columns are ignored.
+    """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def finish(doc_ids: pa.Array, ids: list[list[int]], _: ByteBpe) -> pa.RecordBatch:
@@ -191,8 +234,10 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of each text's ids and of the bytes they decode to.
 
-    ``keep_ids``: the ids themselves follow, as a column of arrays.  Encoding and decoding run in the same task, so ids never leave it.  Null
-    text counts as empty; repeated rows each get a row.
+    ``keep_ids``: the ids themselves follow, as a column of arrays.  Encoding
+    and decoding run in the same task, so ids never leave it.  Null text counts
+    as empty; repeated rows each get a row; a null doc_id stays null; an empty
+    table gives an empty result.  Extra columns are ignored.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
