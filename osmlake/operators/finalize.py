@@ -18,15 +18,18 @@ def unique_by_id(df: DataFrame) -> DataFrame:
     return ranked.where("_rank = 1").drop("_rank")
 
 
-def finalize(df: DataFrame, kind: str) -> DataFrame:
-    """Rows of a node, way or relation table from a view with ``geom``.
-
-    Nodes and ways without geometry are dropped; relations keep null.  The
-    bounding box (ways, relations) is that of the geometry before cleaning.
-    """
+def chosen(df: DataFrame, kind: str) -> DataFrame:
+    """The rows that a node, way or relation table gets from a view with ``geom``: one for each id; nodes and ways without geometry are dropped."""
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}; expected node, way or relation")
-    rows = unique_by_id(df if kind == "relation" else df.where("geom is not null"))
+    return unique_by_id(df if kind == "relation" else df.where("geom is not null"))
+
+
+def shaped(rows: DataFrame, kind: str) -> DataFrame:
+    """Those rows in the table's columns: cleaned geometry, and the bounding box (ways, relations) of the geometry before cleaning.
+
+    Row by row, so it can follow whatever deals the rows out.
+    """
     box = F.col("_box")
     rows = rows.withColumn("_box", geo("envelope", "geom"))
     bbox = F.when(box.isNotNull(), F.struct(*(F.get(box, F.lit(k)).cast("float").alias(n) for k, n in enumerate(("xmin", "xmax", "ymin", "ymax"))))).cast(BBOX)
@@ -43,3 +46,8 @@ def finalize(df: DataFrame, kind: str) -> DataFrame:
         bbox.alias("bbox"),
     )
     return out.drop("bbox") if kind == "node" else out
+
+
+def finalize(df: DataFrame, kind: str) -> DataFrame:
+    """Rows of a node, way or relation table from a view with ``geom``; relations without geometry keep null."""
+    return shaped(chosen(df, kind), kind)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from osmlake import schemas
 from osmlake.config import TableConfig
 from osmlake.functions.geometry import register
-from osmlake.operators.finalize import finalize
+from osmlake.operators.finalize import chosen, shaped
 from osmlake.operators.nodes import build_node_geometry, no_changesets
 from osmlake.operators.relations import Rules, build_relation_geometry, merge_relation_geometry
 from osmlake.operators.ways import build_way_lines, flatten_refs, promote_areas
@@ -36,9 +36,14 @@ def scoped(df: DataFrame, relations: DataFrame, kind: str) -> DataFrame:
 
 def build_relations(relations: DataFrame, ways: DataFrame, nodes: DataFrame, children: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
     """Final rows of relations from members with ``geom``."""
+    return shaped(chosen_relations(relations, ways, nodes, children, rules), "relation")
+
+
+def chosen_relations(relations: DataFrame, ways: DataFrame, nodes: DataFrame, children: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
+    """The same before their geometry is cleaned."""
     ways, nodes = scoped(ways, relations, "way"), scoped(nodes, relations, "node")
     shapes = build_relation_geometry(relations, ways, nodes, children, rules.require_closed, rules.polygon_parents_only)
-    return finalize(merge_relation_geometry(relations, shapes, ways, nodes, rules.member_timestamps), "relation")
+    return chosen(merge_relation_geometry(relations, shapes, ways, nodes, rules.member_timestamps), "relation")
 
 
 def initialise(db: Database, extract: dict[str, DataFrame], configs: dict[str, TableConfig] | None = None, resume: bool = False, sequence: int | None = None) -> None:
@@ -58,13 +63,16 @@ def initialise(db: Database, extract: dict[str, DataFrame], configs: dict[str, T
         create()
         return True
 
+    def load(kind: str, rows: DataFrame) -> None:
+        db.store.append(TYPED[kind], rows, lambda dealt: shaped(dealt, kind), **stamp)
+
     if due(TYPED["node"], lambda: db.create_typed("node", config("node"))):
-        db.store.append(TYPED["node"], finalize(build_node_geometry(extract["node"]), "node"), **stamp)
+        load("node", chosen(build_node_geometry(extract["node"]), "node"))
     if due(TYPED["way"], lambda: db.create_typed("way", config("way"))):
         lines = build_way_lines(extract["way"], db.read("nodes"))
-        db.store.append(TYPED["way"], finalize(promote_areas(lines), "way"), **stamp)
+        load("way", chosen(promote_areas(lines), "way"))
     if due(TYPED["relation"], lambda: db.create_typed("relation", config("relation"))):
-        db.store.append(TYPED["relation"], build_relations(extract["relation"], db.with_geom("way"), db.with_geom("node"), rules=db.rules), **stamp)
+        load("relation", chosen_relations(extract["relation"], db.with_geom("way"), db.with_geom("node"), rules=db.rules))
     for name in schemas.EDGES:
         if due(name, lambda n=name: db.create_edges(config("edges"), (n,))):
             db.populate(name)

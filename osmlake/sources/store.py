@@ -22,7 +22,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -194,14 +194,16 @@ class SnapshotStore:
         rows = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
         return rows, meta["key"] if meta["key"] in schema.names else schema.names[0]
 
-    def _write(self, table: str, meta: dict, df: DataFrame, parts: int | None) -> list[dict]:
+    def _write(self, table: str, meta: dict, df: DataFrame, parts: int | None, finish: Callable[[DataFrame], DataFrame] | None = None) -> list[dict]:
         """Write a table's rows, distributed by range and sorted by key; what is known of each file.
 
         ``parts``: how many files, by their size unless given (adaptive
-        execution joins small ranges).
+        execution joins small ranges).  ``finish``: what is done to every row
+        after they are dealt out, so that drawing the ranges doesn't do it too.
         """
-        rows, key = self._rows(meta, df)
-        rows = rows.repartitionByRange(parts, key) if parts else rows.repartitionByRange(key)
+        key = meta["key"]
+        rows = df.repartitionByRange(parts, key) if parts else df.repartitionByRange(key)
+        rows, key = self._rows(meta, finish(rows) if finish else rows)
         path = f"{self.root}/{table}/data/{uuid.uuid4().hex}"
         (rows.sortWithinPartitions(key) if meta["sort"] else rows).write.options(**meta["options"]).parquet(path)
         stats = self._frame(rows.schema, [path]).groupBy(F.col("_metadata.file_path").alias("path"))
@@ -228,9 +230,10 @@ class SnapshotStore:
     def _as(self, seq: int, found: list[dict], **more) -> list[dict]:
         return [{**f, "seq": seq, **more} for f in found]
 
-    def append(self, table: str, df: DataFrame, **properties) -> None:
+    def append(self, table: str, df: DataFrame, finish: Callable[[DataFrame], DataFrame] | None = None, **properties) -> None:
+        """More rows; ``finish`` turns them into those of the table, one by one."""
         meta = self.snapshot(table)
-        new = self._as(meta["version"] + 1, self._write(table, meta, df, meta["parts"]))
+        new = self._as(meta["version"] + 1, self._write(table, meta, df, meta["parts"], finish))
         self._commit(table, meta, data=meta["data"] + new, properties=meta["properties"] | properties, operation="append")
 
     def overwrite(self, table: str, df: DataFrame, **properties) -> None:
