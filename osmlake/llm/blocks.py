@@ -179,8 +179,11 @@ def corpus_counts(table: DataFrame, parts: int, kinds: Callable[[pa.Table], tupl
 
 
 def by_part(rows: DataFrame, parts: int):
-    """Messages grouped by partition of the key space, with as many tasks as partitions: a task doesn't grow with the input."""
-    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts), PART).groupBy(PART)
+    """Messages grouped by partition of the key space, with as many tasks as partitions: a task doesn't grow with the input.
+
+    The partition itself says which task takes it, so that no task gets several by chance.
+    """
+    return rows.repartitionById(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts), F.col(PART)).groupBy(PART)
 
 
 def answers(rows: pa.Table, parts: int, kinds: int, column: str = "counts") -> list[np.ndarray]:
