@@ -64,6 +64,11 @@ class WaveletTree:
         """Occurrences of each symbol before its position i."""
         return self._down(symbol, i) - self.base[symbol]
 
+    def ranks(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of each symbol before its positions ``low`` and ``high``."""
+        both = self.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return both[: len(symbol)], both[len(symbol) :]
+
     def access(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the symbol at each position, its occurrences before that)."""
         symbol = np.zeros(len(i), np.int64)
@@ -137,8 +142,9 @@ class FmIndex:
                 a[alone] += count
                 b[alone] += count + (own == symbol[alone])
                 wide = ~alone
-                a[wide] += self.tree.rank(symbol[wide], low[live[wide]])
-                b[wide] += self.tree.rank(symbol[wide], high[live[wide]])
+                below, upto = self.tree.ranks(symbol[wide], low[live[wide]], high[live[wide]])
+                a[wide] += below
+                b[wide] += upto
             there = a < b
             live, a, b = live[there], a[there], b[there]
             low[live], high[live], length[live] = a, b, t + 1

@@ -40,7 +40,7 @@ WINDOW, GRAM = 20, 6
 #: Segments in the corpus from which a key is dealt by the hash of each window.
 COMMON = 2048
 #: Windows of a piece that is searched from its end; longer segments are several pieces.
-PIECE = 64
+PIECE = 12
 NO_DOC = -(1 << 63)
 
 SEGMENTS = f"{bk.PART} int, {bk.BLOCK} long, docs binary, starts binary, sizes binary, more binary, texts binary"
