@@ -2,6 +2,8 @@
 
 Members are exploded once and joined once to the ways, nodes and child
 relations; what the families need is gathered by conditional aggregation.
+Exploded members are never broadcast (``hint("merge")``): Spark estimates them
+by the rows they come from, so millions can seem small enough for the driver.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ def build_relation_geometry(
     batch = need_geometry(relations)
     parts = members(batch)
     ways_in = parts.where("member_type = 'way'").withColumn("role", normal_role(F.col("role"))).select("relation_id", "kind", "ref", "role").distinct()
-    ways_in = ways_in.join(_shapes(ways), "ref")
+    ways_in = ways_in.hint("merge").join(_shapes(ways), "ref")
     pick = lambda cond: F.collect_list(F.when(cond, F.col("geom")))
     kind = F.col("kind")
     gathered = ways_in.groupBy("relation_id").agg(
@@ -103,12 +105,12 @@ def build_relation_geometry(
         stored = _shapes(children).join(batch.select(F.col("id").alias("ref")), "ref", "left_anti")
         polygons = polygons.unionByName(stored)
     parents = parts.where(kind.isin(*POLYGON_TYPES)) if polygon_parents_only else members(relations)
-    nested = parents.where("member_type = 'relation'").select("relation_id", "ref").distinct().join(polygons, "ref")
+    nested = parents.where("member_type = 'relation'").select("relation_id", "ref").distinct().hint("merge").join(polygons, "ref")
     nested = nested.groupBy("relation_id").agg(geo("union", F.collect_list("geom")).alias("sub"))
     out = (batch if polygon_parents_only else relations).select(F.col("id").alias("relation_id")).join(own, "relation_id", "left").join(nested, "relation_id", "left")
     site = F.col("site_ways")
     if nodes is not None:
-        points = parts.where((F.col("member_type") == "node") & kind.isin(*COLLECTION_TYPES)).select("relation_id", "ref").distinct().join(_shapes(nodes), "ref")
+        points = parts.where((F.col("member_type") == "node") & kind.isin(*COLLECTION_TYPES)).select("relation_id", "ref").distinct().hint("merge").join(_shapes(nodes), "ref")
         out = out.join(points.groupBy("relation_id").agg(geo("union", F.collect_list("geom")).alias("site_nodes")), "relation_id", "left")
         site = F.when(F.col("site_ways").isNotNull() & F.col("site_nodes").isNotNull(), geo("collect", F.array("site_ways", "site_nodes"))).otherwise(F.coalesce("site_ways", "site_nodes"))
     polygon = F.when(F.col("polygon").isNotNull() & F.col("sub").isNotNull(), geo("collect", F.array("polygon", "sub"))).otherwise(F.coalesce("polygon", "sub"))
@@ -128,11 +130,11 @@ def merge_relation_geometry(relations: DataFrame, geometry: DataFrame, ways: Dat
     base = relations.select(*typed_metadata(relations), "members", own_changesets(relations).alias("stored"))
     out = base.join(geometry.select("id", "geom"), "id", "left")
     known = [(kind, df) for kind, df in (("way", ways), ("node", nodes)) if df is not None]
-    parts = members(relations).join(relations.select(F.col("id").alias("relation_id"), F.col("changeset").cast("bigint").alias("own")), "relation_id")
+    parts = members(relations).hint("merge").join(relations.select(F.col("id").alias("relation_id"), F.col("changeset").cast("bigint").alias("own")), "relation_id")
     gathered = None
     for kind, df in known:
         slim = df.select(F.col("id").alias("ref"), F.col("geom").alias("part"), F.col("changeset").alias("cs"), F.col("latest_ts").cast("timestamp").alias("ts"))
-        rows = parts.where(F.col("member_type") == kind).select("relation_id", "own", "ref").distinct().join(slim, "ref")
+        rows = parts.where(F.col("member_type") == kind).select("relation_id", "own", "ref").distinct().hint("merge").join(slim, "ref")
         gathered = rows if gathered is None else gathered.unionByName(rows)
     if gathered is None:
         out = out.withColumns({"fallback": F.lit(None).cast("binary"), "newer": no_changesets(), "member_ts": F.lit(None).cast("timestamp")})

@@ -31,7 +31,8 @@ def build_way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     positions.  ``latest_ts`` is the greatest of the way's own timestamp and
     those of its nodes; ``additional_changesets`` adds the nodes' changesets
     that are above the way's own.  One shuffle joins references to nodes, a
-    second gathers them by way; both hold only narrow rows.
+    second gathers them by way; both hold only narrow rows.  Neither side is
+    broadcast: Spark's estimate of exploded rows is that of the rows before.
     """
     refs = ways.select(F.col("id").alias("way_id"), F.col("changeset").cast("bigint").alias("own"), F.posexplode("refs").alias("pos", "node_id"))
     slim = nodes.select(
@@ -42,7 +43,7 @@ def build_way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
         F.col("changeset").alias("node_changeset"),
     ).where("x is not null and y is not null")
     gathered = (
-        refs.join(slim, "node_id")
+        refs.hint("merge").join(slim, "node_id")
         .groupBy("way_id")
         .agg(
             F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("at"),
@@ -52,7 +53,7 @@ def build_way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     points = F.transform("at", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     meta = ways.select(*typed_metadata(ways), "refs", own_changesets(ways).alias("additional_changesets"))
-    joined = meta.join(gathered.select(F.col("way_id").alias("id"), points.alias("points"), "node_ts", "newer"), "id", "left")
+    joined = meta.hint("merge").join(gathered.select(F.col("way_id").alias("id"), points.alias("points"), "node_ts", "newer"), "id", "left")
     line = geo("line", F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"]))
     return joined.select(
         *meta.drop("additional_changesets").columns,

@@ -29,9 +29,9 @@ def read_extract(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def scoped(df: DataFrame, relations: DataFrame, kind: str) -> DataFrame:
-    """The rows that relations refer to."""
+    """The rows that relations refer to; the references aren't broadcast, as their number is underestimated."""
     refs = relations.select(F.explode("members").alias("m")).where(F.col("m.type") == kind).select(F.col("m.ref").alias("id")).distinct()
-    return df.join(refs, "id", "left_semi")
+    return df.join(refs.hint("merge"), "id", "left_semi")
 
 
 def build_relations(relations: DataFrame, ways: DataFrame, nodes: DataFrame, children: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
